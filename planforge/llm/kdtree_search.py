@@ -129,6 +129,7 @@ def top_k(
     key = ["dim", "shard", "block"]
 
     def searched(q: DataFrame) -> DataFrame:
+        q = q.select(*[F.col(c).alias(c) for c in q.columns])  # columns of its own, apart from the other side's
         return everywhere.groupBy(*key).cogroup(q.groupBy(*key)).applyInPandas(_search_shard(k), FOUND)
 
     home = materialize(searched(queries.withColumn("kth", F.lit(None).cast("double"))), "knn-home")

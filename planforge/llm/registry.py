@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from planforge.llm import exact_dedup, kdtree_search, mixing, packing
+from planforge.llm import exact_dedup, kdtree_search, langid, mixing, near_dedup, packing, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
+        "op2_language_id": langid.op2_language_id,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_topk_search": kdtree_search.op7_topk_search,
         "op8_mix_sources": mixing.op8_mix_sources,
