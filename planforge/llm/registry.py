@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from planforge.llm import exact_dedup, kdtree_search, langid, mixing, near_dedup, packing, toxicity
+from planforge.llm import chain_dedup, exact_dedup, kdtree_search, langid, mixing, near_dedup, packing, suffix_dedup, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,8 @@ def queries() -> dict:
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_topk_search": kdtree_search.op7_topk_search,
         "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_substring_dedup": chain_dedup.op9_substring_dedup,
+        "op10_suffix_array_dedup": suffix_dedup.op10_suffix_array_dedup,
     }
 
 
