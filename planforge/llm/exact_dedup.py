@@ -51,6 +51,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_exact_copies(docs: DataFrame, salts: int = 32) -> DataFrame:
+    """The rows of docs that stay, one of each text, in the columns of docs; steps and ties as above.
+
+    Rows travel with their text: first the largest id of a salted part of a digest group, then the
+    largest of those. Of repeated rows one stays; a null id stays only if its group has no other.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(
+        F.unhex(F.sha2(text.cast("binary"), 256)).alias("_digest"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("_salt"), text.alias("_text"),
+        F.struct(F.col("doc_id"), F.col("text").isNull().alias("was_null")).alias("_order"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"),
+    )
+    best = [F.max_by("_row", "_order").alias("_row"), F.max("_order").alias("_order")]
+    local = rows.groupBy("_digest", "_salt", "_text").agg(*best)
+    winners = local.groupBy("_digest", "_text").agg(*best)
+    text = F.when(~F.col("_order.was_null"), F.col("_text")).alias("text")
+    return winners.select(*[text if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 

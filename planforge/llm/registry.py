@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from planforge.llm import chain_dedup, exact_dedup, kdtree_search, langid, mixing, near_dedup, packing, suffix_dedup, toxicity
+from planforge.llm import chain_dedup, exact_dedup, kdtree_search, langid, mixing, near_dedup, packing, secret_scan, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": near_dedup.op1_minhash_near_dedup,
         "op2_language_id": langid.op2_language_id,
+        "op3_secret_scan": secret_scan.op3_secret_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
