@@ -98,17 +98,22 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
     return both.where(same >= matches).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs with 100 * intersection >= percent * union, on the full sets of whole texts."""
-    involved = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = docs.select("doc_id", "text").join(involved, "doc_id", "left_semi").mapInArrow(_full_sets(size), "id long, shingles array<bigint>")
-    sets = materialize(sets, "near-sets")
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs with 100 * intersection >= percent * union, on the full sets."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
     shared, sizes = F.size(F.array_intersect("xa", "xb")), F.size("xa") + F.size("xb")
     return both.where(100 * shared >= percent * (sizes - shared)).select("a", "b")
 
 
+def _common_counts(sets: DataFrame) -> DataFrame:
+    """id, n (size of its set), m (how many of its shingles at least one other of the given sets has too)."""
+    posted = sets.select("id", F.explode("shingles").alias("s"))
+    common = posted.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
+    m = posted.join(common, "s", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
+    return sets.select("id", F.size("shingles").cast("long").alias("n")).join(m, "id")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 38) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -121,11 +126,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
        agree in ``matches`` of ``coordinates`` share one of any coordinates - matches + 1 of those,
        so only that many, the rarest, are kept (prefix); values that no other set has are the
        rarest, and a set with too few shared ones is skipped altogether.
-    3. In each kept list all sets are paired with its smallest and its largest id, not with each
-       other; agreeing coordinates are counted and pairs above ``matches`` confirmed on full sets.
+    3. In each kept list all sets are paired with two of its members, not with each other: the
+       smallest id and the most central set, the one with the most shared values. Agreeing
+       coordinates are counted and pairs above ``matches`` confirmed on full sets.
     4. Only sets of one list that are still in different components are paired next: those outside
-       the list's largest component with all others. So no link that could join components is
-       lost, and a large group of copies costs a few pairs a member.
+       the list's largest component with all others. A set is left out where the shingles that it
+       shares with any other could not make up the overlap, which is an exact bound. So no link that
+       could join components is lost, and a large group of copies costs a few pairs a member.
 
     A pair at the threshold is missed with a probability of about 2e-5, a closer one with less.
     Null and wordless texts have the empty set and are linked with nothing; a null doc_id has a null
@@ -139,24 +146,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     postings = sigs.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     listed = postings.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    listed = listed.where(F.size("keys") >= matches)
-    prefix = listed.select("id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - matches + 1)).alias("x"))
-    prefix = materialize(prefix.select("id", F.col("x.key").alias("key")), "near-prefix")
-
-    ends = prefix.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    starred = prefix.join(ends, "key").select("id", F.explode(F.array("lo", "hi")).alias("end")).where("id <> end")
+    listed = listed.withColumn("shared", F.size("keys")).where(F.col("shared") >= matches)
+    prefix = listed.select("id", "shared", F.explode(F.slice("keys", F.lit(1), F.col("shared") - matches + 1)).alias("x"))
+    prefix = materialize(prefix.select("id", "shared", F.col("x.key").alias("key")), "near-prefix")
+    sets = docs.select("doc_id", "text").join(prefix.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = materialize(sets.mapInArrow(_full_sets(size), "id long, shingles array<bigint>"), "near-sets")
+
+    central = F.max(F.struct("shared", -F.col("id"))).getField("col2")
+    ends = prefix.groupBy("key").agg(F.min("id").alias("lo"), (-central).alias("mid"), F.count("*").alias("n")).where("n > 1")
+    starred = prefix.join(ends, "key").select("id", F.explode(F.array("lo", "mid")).alias("end")).where("id <> end")
     first = materialize(starred.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "near-pairs")
-    links = materialize(_confirmed(materialize(_agreeing(first, sigs, matches), "near-agreeing"), docs, size, percent), "near-links")
+    links = materialize(_confirmed(_agreeing(first, sigs, matches), sets, percent), "near-links")
     found = components(links)
 
     member = prefix.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
     member = materialize(member.join(mixed.select("key", F.col("top.c").alias("top")), "key"), "near-members")
-    outside = member.where("c <> top").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    cross = outside.join(member.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(materialize(_agreeing(materialize(cross, "near-cross"), sigs, matches), "near-agreeing"), docs, size, percent)
+    bounds = _common_counts(sets.join(member.select("id").distinct(), "id", "left_semi")).where(100 * F.col("m") >= percent * F.col("n"))
+    member = materialize(member.join(bounds, "id"), "near-bounded")
+    outside = member.where("c <> top").select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "c", "n", "m")])
+    inside = member.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "c", "n", "m")])
+    # |x and y| is at most the smaller m, and at least percent / (100 + percent) of |x| + |y|
+    possible = (100 + percent) * F.least("m_x", "m_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    cross = outside.join(inside, (outside["key"] == inside["key"]) & (F.col("c_x") != F.col("c_y")) & possible)
+    cross = cross.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = _confirmed(_agreeing(materialize(cross, "near-cross"), sigs, matches), sets, percent)
     found = components(links.unionByName(more))
 
     class_of = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
