@@ -7,10 +7,12 @@ position at one displacement, but it takes 1.7 % of all positions, where the sma
 leaves blocks of this size takes 9 %.
 
 1. The sample's blocks are ranked first, one hash bucket at a time: a block that is there once rules
-   out every suffix that is assigned to it.
+   out every suffix that is assigned to it. So are the stretches from one sample position over the
+   next until every suffix between the two is inside: a stretch found more than once decides all of
+   those, and only one of its places goes on to step 2.
 2. The remaining suffixes go to buckets by fingerprint and are sorted one bucket at a time. Ties
-   of any length are decided by the 96-bit fingerprint of head, sample block and tail, never by
-   comparing byte by byte, so a bucket needs memory for its fingerprints only.
+   of any length are decided by an 80-bit fingerprint of the whole string, never by comparing byte
+   by byte, so a bucket needs memory for its fingerprints only.
 3. Suffixes found more than once go back to their documents, which drop the bytes they cover.
 """
 
@@ -33,11 +35,11 @@ BLOCK = 64
 SEGMENT = 1 << 20
 
 MARKS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("first", pa.binary()), ("second", pa.binary()), ("twice", pa.binary())])
-FLAGS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("flags", pa.binary())])
+FLAGS = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("flags", pa.binary()), ("chosen", pa.binary())])
 KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 DDL = {
     "marks": "part bigint, bucket bigint, kind int, first binary, second binary, twice binary",
-    "flags": "part bigint, bucket bigint, kind int, flags binary",
+    "flags": "part bigint, bucket bigint, kind int, flags binary, chosen binary",
     "kept": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
 }
 
@@ -53,21 +55,38 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def sample_positions(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a segment: hashes of the sampled blocks in order, and how many suffixes are assigned to each."""
+class Strings:
+    """80-bit fingerprints of any substrings of a segment."""
+
+    def __init__(self, data: np.ndarray):
+        self.data, self.sums = data, Rolling(data)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not hasattr(self, "others"):
+            values = (mix(np.arange(256, dtype=np.uint64) + np.uint64(977)) & np.uint64(255)).astype(np.uint8)
+            # the same sum over other values of the bytes, each with its left neighbour inside the string
+            self.others = Rolling(values[self.data] ^ np.roll(self.data, 1))
+        return self.sums.of(start, end), (self.others.of(start + 1, end) >> np.uint64(48)).astype(np.uint16)
+
+
+def sample_positions(strings: Strings, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of a segment: sampled positions, hashes of their blocks, how many suffixes are assigned to each, size of a block."""
     block = min(BLOCK, length)
-    hashes = Rolling(data).windows(block)
+    hashes = strings.sums.windows(block)
     low = np.uint64((1 << 21) - 1)  # the leftmost of equal hashes: the position decides
     at = (sliding_least((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64), length - block + 1) & low).astype(np.int64)
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
-    return hashes[at[cuts[:-1]]], np.diff(cuts)
+    places = at[cuts[:-1]]
+    return places, hashes[places], np.diff(cuts), block
 
 
-def second_hashes(data: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
-    """32 more bits of the fingerprints of the suffixes at ``at``: the same sum over other values of the bytes."""
-    other = (mix(data.astype(np.uint64) + np.uint64(977)) & np.uint64(255)).astype(np.uint8)
-    twisted = (other ^ np.roll(data, 1)).astype(np.uint8)  # also of each byte's left neighbour, inside the string
-    return (Rolling(twisted).of(at + 1, at + length) >> np.uint64(32)).astype(np.uint32)
+def stretches(places: np.ndarray, block: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the sample positions that have one: number in places, and end of the stretch that holds all suffixes up to the next."""
+    if len(places) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = np.searchsorted(places, places[1:] + length - 1 - block)
+    t = np.flatnonzero(last < len(places))
+    return t, places[last[t]] + block
 
 
 def _segments(text: bytes, length: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,86 +107,130 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, np.concatenate([[True], ~same | other]) if len(first) else np.zeros(0, bool)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of sorted values by significance, which the shuffle's compression makes use of."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
+
+
 class Marks:
-    """The fingerprints of one part, distinct and in order, cut into buckets."""
+    """The fingerprints of one part, distinct and in order, cut into buckets; ``known`` are there twice for sure."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, buckets: int):
+    def __init__(self, first: np.ndarray, second: np.ndarray, buckets: int, known: np.ndarray | None = None):
         self.order, begins = _distinct(first, second)
         starts = np.flatnonzero(begins)
         self.group = np.cumsum(begins) - 1
+        self.leader = np.zeros(len(first), dtype=bool)  # the first place of each in this part: the sort is stable
+        self.leader[self.order[starts]] = True
         self.first, self.second = first[self.order][starts], second[self.order][starts]
         self.twice = np.diff(np.append(starts, len(first))) > 1
+        if known is not None and len(starts):
+            self.twice |= np.logical_or.reduceat(known[self.order], starts)
         high = (self.first >> np.uint64(32)).astype(np.int64)
         self.cuts = np.searchsorted(high * buckets >> 32, np.arange(buckets + 1))
 
     def rows(self, part: int, kind: int) -> list[dict]:
         spans = [(b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:])) if hi > lo]
         return [
-            {"part": part, "bucket": b, "kind": kind, "first": self.first[s].tobytes(), "second": self.second[s].tobytes() if kind else b"", "twice": np.packbits(self.twice[s]).tobytes()}
+            {"part": part, "bucket": b, "kind": kind, "first": _planes(self.first[s]), "second": self.second[s].tobytes() if kind else b"", "twice": np.packbits(self.twice[s]).tobytes()}
             for b, s in spans
         ]
 
     def flagged(self, flags: dict[int, bytes]) -> np.ndarray:
-        """For each fingerprint given, in the order given: whether its bucket found it more than once."""
+        """For each fingerprint given, in the order given: the bit of its bucket."""
         found = np.zeros(len(self.first), dtype=bool)
         for b, bits in flags.items():
             lo, hi = self.cuts[b], self.cuts[b + 1]
-            found[lo:hi] = np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+            found[lo:hi] = _bits(bits, hi - lo)
         out = np.zeros(len(self.order), dtype=bool)
         out[self.order] = found[self.group]
         return out
 
 
 def sort_bucket(table: pa.Table) -> pa.Table:
-    """One bucket of suffixes (or sample blocks) of all parts: which are there more than once."""
-    rows = table.to_pylist()
-    firsts = [np.frombuffer(r["first"], np.uint64) for r in rows]
+    """One bucket of suffixes (blocks, stretches) of all parts: which are there more than once, and one place of each chosen."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+    firsts = [_from_planes(r["first"], np.uint64) for r in rows]
     first = np.concatenate(firsts)
-    second = np.concatenate([np.frombuffer(r["second"], np.uint32) for r in rows]) if rows[0]["kind"] else np.zeros(len(first), np.uint32)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(r["twice"], np.uint8), count=len(f)).astype(bool) for r, f in zip(rows, firsts, strict=True)])
+    second = np.concatenate([np.frombuffer(r["second"], np.uint16) for r in rows]) if rows[0]["kind"] else np.zeros(len(first), np.uint16)
+    twice = np.concatenate([_bits(r["twice"], len(f)) for r, f in zip(rows, firsts, strict=True)])
     order, begins = _distinct(first, second)
     starts = np.flatnonzero(begins)
     many = (np.diff(np.append(starts, len(first))) > 1) | np.logical_or.reduceat(twice[order], starts)
-    found = np.zeros(len(first), dtype=bool)
+    found, chosen = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=bool)
     found[order] = many[np.cumsum(begins) - 1]
+    chosen[order[starts]] = many
     out, at = [], 0
     for r, f in zip(rows, firsts, strict=True):
-        out.append({"part": r["part"], "bucket": r["bucket"], "kind": r["kind"], "flags": np.packbits(found[at : at + len(f)]).tobytes()})
+        s = slice(at, at + len(f))
+        out.append({"part": r["part"], "bucket": r["bucket"], "kind": r["kind"], "flags": np.packbits(found[s]).tobytes(), "chosen": np.packbits(chosen[s]).tobytes()})
         at += len(f)
     return pa.Table.from_pylist(out, FLAGS)
 
 
+#: Kinds of marks.
+BLOCKS, SUFFIXES, STRETCHES = 0, 1, 2
+
+
 class Part:
     """The documents of one part; everything here is made anew from their texts when it is asked for."""
 
     def __init__(self, table: pa.Table, length: int, buckets: int):
         self.ids, self.length, self.buckets = table.column("doc_id").to_pylist(), length, buckets
         self.texts = [(t or "").encode() for t in table.column("text").to_pylist()]
-        hashes, self.spread = [], []  # spread: document, segment's start, suffixes of each sample position
+        hashes, first, second, self.spread = [], [], [], []
         for d, text in enumerate(self.texts):
             for at, data in _segments(text, length):
-                h, n = sample_positions(data, length)
+                strings = Strings(data)
+                places, h, n, block = sample_positions(strings, length)
+                t, end = stretches(places, block, length)
+                a, b = strings.of(places[t], end)
                 hashes.append(h)
-                self.spread.append((d, at, n))
-        first = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.sample = Marks(first, np.zeros(len(first), np.uint32), buckets)
-
-    def candidates(self, flags: dict[int, bytes]) -> None:
-        """Fingerprints of the suffixes whose sample block is there more than once."""
-        repeated, k = self.sample.flagged(flags), 0
-        first, second, self.places = [], [], []
-        for d, at, n in self.spread:
-            mine = repeated[k : k + len(n)]
-            k += len(n)
-            if mine.any():
+                first.append(a)
+                second.append(b)
+                self.spread.append((d, at, n, places, t))
+        self.sample = Marks(_joined(hashes, np.uint64), np.zeros(sum(map(len, hashes)), np.uint16), buckets)
+        self.stretched = Marks(_joined(first, np.uint64), _joined(second, np.uint16), buckets)
+
+    def rows(self, part: int) -> list[dict]:
+        return self.sample.rows(part, BLOCKS) + self.stretched.rows(part, STRETCHES)
+
+    def candidates(self, flags: pa.Table) -> None:
+        """Fingerprints of the suffixes whose block is there more than once and that no other place's stretch stands for."""
+        repeated = self.sample.flagged(_by_kind(flags, BLOCKS, "flags"))
+        decided = self.stretched.flagged(_by_kind(flags, STRETCHES, "flags"))
+        sent = self.stretched.flagged(_by_kind(flags, STRETCHES, "chosen")) & self.stretched.leader
+        first, second, known = [], [], []
+        self.places, self.decided = [], []
+        i = j = 0
+        for d, at, n, places, t in self.spread:
+            mine, dec, snd = repeated[i : i + len(n)], decided[j : j + len(t)], sent[j : j + len(t)]
+            i, j = i + len(n), j + len(t)
+            if not mine.any():
+                continue
+            inside = np.zeros(int(n.sum()), dtype=bool)  # suffixes in decided stretches; those of them to be sent
+            chosen = inside.copy()
+            for k, also in zip(t[dec], snd[dec], strict=True):
+                inside[places[k] : places[k + 1]] = True
+                chosen[places[k] : places[k + 1]] |= also
+            if inside.any():
+                self.decided.append((d, at + np.flatnonzero(inside)))
+            where = np.flatnonzero((np.repeat(mine, n) & ~inside) | chosen)
+            if len(where):
                 data = np.frombuffer(self.texts[d], dtype=np.uint8)[at : at + SEGMENT + self.length - 1]
-                where = np.flatnonzero(np.repeat(mine, n))
-                first.append(Rolling(data).of(where, where + self.length))
-                second.append(second_hashes(data, self.length, where))
+                a, b = Strings(data).of(where, where + self.length)
+                first.append(a)
+                second.append(b)
+                known.append(inside[where])
                 self.places.append((d, at + where))
-        first = np.concatenate(first) if first else np.zeros(0, np.uint64)
-        second = np.concatenate(second) if second else np.zeros(0, np.uint32)
-        self.suffixes = Marks(first, second, self.buckets)
+        self.suffixes = Marks(_joined(first, np.uint64), _joined(second, np.uint16), self.buckets, _joined(known, bool))
 
     def kept(self, flags: dict[int, bytes]) -> pa.Table:
         repeated, k = self.suffixes.flagged(flags), 0
@@ -176,12 +239,14 @@ class Part:
             if len(hit := at[repeated[k : k + len(at)]]):
                 starts.setdefault(d, []).append(hit)
             k += len(at)
+        for d, at in self.decided:
+            starts.setdefault(d, []).append(at)
         out = []
         for d, text in enumerate(self.texts):
             row = {"doc_id": self.ids[d], "n_bytes": len(text), "n_removed": 0, "n_spans": 0}
             if d in starts:
                 change = np.zeros(len(text) + 1, dtype=np.int32)
-                at = np.concatenate(starts[d])  # distinct: each suffix is looked at once
+                at = np.unique(np.concatenate(starts[d]))
                 change[at] += 1
                 change[at + self.length] -= 1
                 gone = np.cumsum(change[:-1]) > 0
@@ -192,8 +257,12 @@ class Part:
         return pa.Table.from_pylist(out, KEPT)
 
 
-def _by_kind(flags: pa.Table, kind: int) -> dict[int, bytes]:
-    return {r["bucket"]: r["flags"] for r in flags.to_pylist() if r["kind"] == kind}
+def _joined(arrays: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else np.zeros(0, kind)
+
+
+def _by_kind(flags: pa.Table, kind: int, bits: str) -> dict[int, bytes]:
+    return {r["bucket"]: r[bits] for r in flags.to_pylist() if r["kind"] == kind}
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 16 << 20) -> DataFrame:
@@ -215,27 +284,27 @@ def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 16 << 2
     by_part = texts.groupBy("part")
 
     def sample(table: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(Part(table, length, buckets).sample.rows(table.column("part")[0].as_py(), 0), MARKS)
+        return pa.Table.from_pylist(Part(table, length, buckets).rows(table.column("part")[0].as_py()), MARKS)
 
     def suffixes(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return MARKS.empty_table()
         part = Part(table, length, buckets)
-        part.candidates(_by_kind(flags, 0))
-        return pa.Table.from_pylist(part.suffixes.rows(table.column("part")[0].as_py(), 1), MARKS)
+        part.candidates(flags)
+        return pa.Table.from_pylist(part.suffixes.rows(table.column("part")[0].as_py(), SUFFIXES), MARKS)
 
     def removed(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return KEPT.empty_table()
         part = Part(table, length, buckets)
-        part.candidates(_by_kind(flags, 0))
-        return part.kept(_by_kind(flags, 1))
+        part.candidates(flags)
+        return part.kept(_by_kind(flags, SUFFIXES, "flags"))
 
     def own(df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(c) for c in df.columns])
 
-    blocks = by_part.applyInArrow(sample, DDL["marks"]).groupBy("bucket").applyInArrow(sort_bucket, DDL["flags"])
-    found = by_part.cogroup(own(blocks).groupBy("part")).applyInArrow(suffixes, DDL["marks"]).groupBy("bucket").applyInArrow(sort_bucket, DDL["flags"])
+    blocks = by_part.applyInArrow(sample, DDL["marks"]).groupBy("bucket", "kind").applyInArrow(sort_bucket, DDL["flags"])
+    found = by_part.cogroup(own(blocks).groupBy("part")).applyInArrow(suffixes, DDL["marks"]).groupBy("bucket", "kind").applyInArrow(sort_bucket, DDL["flags"])
     flags = own(blocks).unionByName(own(found))
     return by_part.cogroup(flags.groupBy("part")).applyInArrow(removed, DDL["kept"])
 
