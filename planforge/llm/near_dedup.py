@@ -145,6 +145,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     sigs = materialize(sigs, "near-signatures")
     postings = sigs.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(shared, "near-shared")  # sides of their own let adaptive execution split a hot value
     listed = postings.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     listed = listed.withColumn("shared", F.size("keys")).where(F.col("shared") >= matches)
     prefix = listed.select("id", "shared", F.explode(F.slice("keys", F.lit(1), F.col("shared") - matches + 1)).alias("x"))
@@ -154,7 +155,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
 
     central = F.max(F.struct("shared", -F.col("id"))).getField("col2")
     ends = prefix.groupBy("key").agg(F.min("id").alias("lo"), (-central).alias("mid"), F.count("*").alias("n")).where("n > 1")
-    starred = prefix.join(ends, "key").select("id", F.explode(F.array("lo", "mid")).alias("end")).where("id <> end")
+    starred = prefix.join(materialize(ends, "near-ends"), "key").select("id", F.explode(F.array("lo", "mid")).alias("end")).where("id <> end")
     first = materialize(starred.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "near-pairs")
     links = materialize(_confirmed(_agreeing(first, sigs, matches), sets, percent), "near-links")
     found = components(links)
