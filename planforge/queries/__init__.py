@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from planforge.queries import rollups, tables  # noqa: F401
+from planforge.queries import models, rollups, tables  # noqa: F401
 from planforge.queries.base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
