@@ -106,12 +106,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (sizes - shared)).select("a", "b")
 
 
-def _common_counts(sets: DataFrame) -> DataFrame:
-    """id, n (size of its set), m (how many of its shingles at least one other of the given sets has too)."""
-    posted = sets.select("id", F.explode("shingles").alias("s"))
-    common = posted.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
-    m = posted.join(common, "s", "left_semi").groupBy("id").agg(F.count("*").alias("m"))
-    return sets.select("id", F.size("shingles").cast("long").alias("n")).join(m, "id")
+def _overlapping(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of an outside set and any of sets that could reach the similarity, by the rarest shingles of x.
+
+    y must hold ceil(percent / 100 * |x|) shingles of x, so one of any |x| less those and one more:
+    of the rarest, that is, which few sets hold, however many are alike in all others.
+    """
+    posted = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = materialize(posted.groupBy("s").agg(F.count("*").alias("df")), "near-df")
+    own = posted.join(outside, "id", "left_semi").join(df, "s")
+    own = own.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by_df"))
+    spare = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    probe = own.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.explode(F.slice("by_df", F.lit(1), spare)).alias("r")).where("r.df > 1")
+    probe = materialize(probe.select("x", "n_x", F.col("r.s").alias("s")), "near-probes")
+    found = probe.join(posted, (probe["s"] == posted["s"]) & (F.col("x") != F.col("id")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")))
+    return found.select("x", F.col("id").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 64, matches: int = 38) -> DataFrame:
@@ -129,10 +138,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     3. In each kept list all sets are paired with two of its members, not with each other: the
        smallest id and the most central set, the one with the most shared values. Agreeing
        coordinates are counted and pairs above ``matches`` confirmed on full sets.
-    4. Only sets of one list that are still in different components are paired next: those outside
-       the list's largest component with all others. A set is left out where the shingles that it
-       shares with any other could not make up the overlap, which is an exact bound. So no link that
-       could join components is lost, and a large group of copies costs a few pairs a member.
+    4. Of the lists whose sets are still in different components, those outside the list's largest
+       component are looked up by their rarest shingles among all sets of such lists. Any set that
+       is alike holds one of those, so no link that could join components is lost, and a large group
+       of copies costs a few pairs a member.
 
     A pair at the threshold is missed with a probability of about 2e-5, a closer one with less.
     Null and wordless texts have the empty set and are linked with nothing; a null doc_id has a null
@@ -163,15 +172,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     member = prefix.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
-    member = materialize(member.join(mixed.select("key", F.col("top.c").alias("top")), "key"), "near-members")
-    bounds = _common_counts(sets.join(member.select("id").distinct(), "id", "left_semi")).where(100 * F.col("m") >= percent * F.col("n"))
-    member = materialize(member.join(bounds, "id"), "near-bounded")
-    outside = member.where("c <> top").select("key", *[F.col(c).alias(f"{c}_x") for c in ("id", "c", "n", "m")])
-    inside = member.select("key", *[F.col(c).alias(f"{c}_y") for c in ("id", "c", "n", "m")])
-    # |x and y| is at most the smaller m, and at least percent / (100 + percent) of |x| + |y|
-    possible = (100 + percent) * F.least("m_x", "m_y") >= percent * (F.col("n_x") + F.col("n_y"))
-    cross = outside.join(inside, (outside["key"] == inside["key"]) & (F.col("c_x") != F.col("c_y")) & possible)
-    cross = cross.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    member = materialize(member.join(materialize(mixed.select("key", F.col("top.c").alias("top")), "near-mixed"), "key"), "near-members")
+    open_sets = materialize(sets.join(member.select("id").distinct(), "id", "left_semi"), "near-open")
+    cross = _overlapping(member.where("c <> top").select("id").distinct(), open_sets, percent)
+    c = materialize(member.select("id", "c").distinct(), "near-parts")
+    cross = cross.join(c.select(F.col("id").alias("x"), F.col("c").alias("c_x")), "x").join(c.select(F.col("id").alias("y"), F.col("c").alias("c_y")), "y")
+    cross = cross.where("c_x <> c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _confirmed(_agreeing(materialize(cross, "near-cross"), sigs, matches), sets, percent)
     found = components(links.unionByName(more))
 
