@@ -64,7 +64,7 @@ def _round_group(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
             x[i], x[j] = (0.0 if i_empty else x[i] - down / mass[i]), (1.0 if j_full else x[j] + down / mass[j])
         held = i if 0 < x[i] < 1 else j if 0 < x[j] < 1 else -1
     if last and held >= 0:
-        x[held] = 1.0 if u[held] < x[held] else 0.0
+        x[held] = 1.0 if u[held] * 99991 % 1 < x[held] else 0.0  # lower digits: the higher ones have been used
     pdf["x"] = x
     return pdf
 
