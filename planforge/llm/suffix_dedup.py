@@ -265,12 +265,13 @@ def _by_kind(flags: pa.Table, kind: int, bits: str) -> dict[int, bytes]:
     return {r["bucket"]: r[bits] for r in flags.to_pylist() if r["kind"] == kind}
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 6 << 20, bucket_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, null is empty. A byte goes if a string of ``length`` bytes that covers it
     also starts anywhere else, in the same document (overlapping too) or another; strings never
-    cross documents and are judged on the input. n_spans counts maximal removed runs.
+    cross documents and are judged on the input. n_spans counts maximal removed runs. A task holds a
+    part, or the fingerprints of a bucket, which stand for ``bucket_bytes`` of text.
 
     Documents go by a hash of their id to parts of about ``part_bytes``; the text is shuffled once
     and that shuffle serves the three passes over it. A part first drops repeats of its own, so a
@@ -279,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 16 << 2
     ``length`` or more bytes in them are removed. An empty table gives an empty result.
     """
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    parts, buckets = max(1, math.ceil(size / part_bytes)), max(1, math.ceil(size / (2 * part_bytes)))
+    parts, buckets = max(1, math.ceil(size / part_bytes)), max(1, math.ceil(size / bucket_bytes))
     texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", "text")
     by_part = texts.groupBy("part")
 
