@@ -79,7 +79,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def in_blocks(texts: list[bytes], most: int = 1 << 21):
+def in_blocks(texts: list[bytes], most: int = 1 << 19):
     """Runs of texts of about ``most`` bytes together, as slices; a longer text is a run of its own."""
     at = size = 0
     for i, t in enumerate(texts):
