@@ -170,14 +170,15 @@ SQL_VIEWS = {
         LEFT JOIN target_yield y ON y.site_code = d.site_code AND y.product_number = d.product_number AND y.test_type = t.test_type AND y.month_key = d.month_key AND y.snapshot_id = d.snapshot_id
         LEFT JOIN inventory i ON i.site_code = d.site_code AND i.test_type = t.test_type AND i.month_key = d.month_key
         LEFT JOIN site_params p ON p.site_code = d.site_code AND p.month_key = d.month_key LEFT JOIN sites s ON s.site_code = d.site_code LEFT JOIN test_types tt ON tt.test_type = t.test_type""",
-    "cap_case": """SELECT b.*, c.capacity_mode, c.retest_type, CAST(CASE WHEN capacity_mode = 'NORMAL' THEN working_days_normal ELSE working_days_max END AS DOUBLE) AS working_days,
-        CAST(CASE WHEN capacity_mode = 'NORMAL' THEN shifts_per_day_normal ELSE shifts_per_day_max END AS DOUBLE) AS shifts, CASE WHEN capacity_mode = 'NORMAL' THEN hours_per_shift_normal ELSE hours_per_shift_max END AS hours,
+    "cap_case": """SELECT b.*, c.capacity_mode, c.retest_type, CAST(coalesce(nullif(CASE WHEN capacity_mode = 'NORMAL' THEN working_days_normal ELSE working_days_max END, 0), 22) AS DOUBLE) AS working_days,
+        CAST(coalesce(nullif(CASE WHEN capacity_mode = 'NORMAL' THEN shifts_per_day_normal ELSE shifts_per_day_max END, 0), 2) AS DOUBLE) AS shifts,
+        coalesce(nullif(CASE WHEN capacity_mode = 'NORMAL' THEN hours_per_shift_normal ELSE hours_per_shift_max END, 0), 8.0::DOUBLE) AS hours, coalesce(allowance_pct, 0.1::DOUBLE) AS allowance, coalesce(nullif(productivity_pct, 0), 0.95::DOUBLE) AS productivity,
         CASE WHEN retest_type = 'TYPE1' THEN 2.0::DOUBLE ELSE (1 - coalesce(nullif(yield_retest_1, 0), 0.80::DOUBLE) + coalesce(nullif(yield_retest_2_plus, 0), 0.90::DOUBLE)) / coalesce(nullif(yield_retest_2_plus, 0), 0.90::DOUBLE) END AS retest_r,
         CASE WHEN retest_type = 'TYPE1' THEN 0.75::DOUBLE ELSE coalesce(nullif(retest_quote, 0), 0.75::DOUBLE) END AS retest_x
         FROM base b, (VALUES ('NORMAL', 'TYPE1'), ('NORMAL', 'TYPE2'), ('MAXIMUM', 'TYPE1'), ('MAXIMUM', 'TYPE2')) AS c(capacity_mode, retest_type)""",
     "cap_steps": """SELECT *, unit * equip_qty_available AS capacity_qty, CASE WHEN unit > 0 THEN effective_demand_qty / unit ELSE 9999.0::DOUBLE END AS need_fractional FROM (
         SELECT *, step3_productivity_adjusted * step4_monthly_shifts AS unit FROM (
-        SELECT *, step3_productivity_raw * (1 - allowance_pct) * productivity_pct AS step3_productivity_adjusted, working_days * shifts AS step4_monthly_shifts FROM (
+        SELECT *, step3_productivity_raw * (1 - allowance) * productivity AS step3_productivity_adjusted, working_days * shifts AS step4_monthly_shifts FROM (
         SELECT *, coalesce(hours * 3600 / nullif(step2_total_avg_test_time, 0), 0) AS step3_productivity_raw FROM (
         SELECT *, step1_avg_test_time / least(1.0::DOUBLE, greatest(0.01::DOUBLE, utilization_rate)) AS step2_total_avg_test_time FROM (
         SELECT *, (handling_time_sec + target_test_time_sec) * (1 + (1 - least(0.99::DOUBLE, greatest(0.01::DOUBLE, target_yield))) * retest_r * retest_x) AS step1_avg_test_time FROM cap_case)))))""",
