@@ -109,17 +109,20 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _overlapping(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of an outside set and any of sets that could reach the similarity, by the rarest shingles of x.
 
-    y must hold ceil(percent / 100 * |x|) shingles of x, so one of any |x| less those and one more:
-    of the rarest, that is, which few sets hold, however many are alike in all others.
+    An overlap of percent / (100 + percent) * (|x| + |y|) is needed. If the first common shingle in
+    the order of x by document frequency has r others before it, the overlap is |x| - r at most, so r
+    is bounded: only the rarest shingles of x are looked up, which few sets hold, however many are
+    alike in all others. y is at least percent / 100 as large as x, which bounds r before y is known.
     """
     posted = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     df = materialize(posted.groupBy("s").agg(F.count("*").alias("df")), "near-df")
     own = posted.join(outside, "id", "left_semi").join(df, "s")
     own = own.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by_df"))
     spare = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    probe = own.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.explode(F.slice("by_df", F.lit(1), spare)).alias("r")).where("r.df > 1")
-    probe = materialize(probe.select("x", "n_x", F.col("r.s").alias("s")), "near-probes")
-    found = probe.join(posted, (probe["s"] == posted["s"]) & (F.col("x") != F.col("id")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")))
+    probe = own.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.posexplode(F.slice("by_df", F.lit(1), spare)).alias("r", "e")).where("e.df > 1")
+    probe = materialize(probe.select("x", "n_x", "r", F.col("e.s").alias("s")), "near-probes")
+    enough = (100 + percent) * (F.col("n_x") - F.col("r")) >= percent * (F.col("n_x") + F.col("n"))
+    found = probe.join(posted, (probe["s"] == posted["s"]) & (F.col("x") != F.col("id")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")) & enough)
     return found.select("x", F.col("id").alias("y")).distinct()
 
 
