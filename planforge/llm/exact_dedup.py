@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planforge.llm.common import read
+from planforge.llm.common import materialize, read
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
@@ -41,6 +41,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # two texts under one SHA-256: stop the job rather than merge them
     one_text = F.when(F.col("_texts") > 1, F.raise_error(F.lit("different texts share a SHA-256 digest"))).otherwise(F.col("_digest"))
     groups = by_digest.where("group_size > 1").select(one_text.alias("_d"), "keep_id", "group_size")
+    groups = materialize(groups, "exact-groups")  # a join side of its own, so that a hot digest's rows can be split
     out = rows.select("doc_id", "_digest").join(groups, F.col("_digest") == F.col("_d"), "left")
     return out.select(
         "doc_id",
