@@ -12,6 +12,7 @@ from planforge.operators.reshape import explode_children
 
 CUTOFF = 200012
 MONTHS_1998 = [f"{m}_1998" for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")]
+TEST_TYPES = ("AF", "AO", "NF", "NO", "RF", "RO")
 SERIES = ["site_code", "product_family", "test_type"]
 
 
@@ -85,8 +86,9 @@ def target_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equipment present at a site for a test type and month: its suppliers with shipments."""
-    out = fact(spark, sf_dir).groupBy("site_code", "test_type", "month_key", F.col("factory_code").alias("equipment_id"))
+    """Equipment present at a site in a month: its suppliers with shipments, each of which serves one test type."""
+    own = F.element_at(F.array(*[F.lit(t) for t in TEST_TYPES]), (F.col("factory_code") % 6 + 1).cast("int"))
+    out = fact(spark, sf_dir).where(F.col("test_type") == own).groupBy("site_code", "test_type", "month_key", F.col("factory_code").alias("equipment_id"))
     kind = F.when(F.col("equipment_id") % 2 == 0, "SYSTEM").otherwise("FIXTURE")
     out = out.agg(F.max("equip_qty").alias("equip_qty_available"), F.avg("utilization_rate").alias("utilization_rate"))
     e = F.col("equipment_id")
@@ -157,7 +159,7 @@ SQL_VIEWS = {
     "target_yield": "SELECT site_code, product_number, test_type, month_key, snapshot_id, avg(yield_avg) AS target_yield FROM snapshots GROUP BY 1, 2, 3, 4, 5",
     "inventory": """SELECT site_code, test_type, month_key, factory_code AS equipment_id, max(equip_qty) AS equip_qty_available, avg(utilization_rate) AS utilization_rate,
         CASE WHEN factory_code % 2 = 0 THEN 'SYSTEM' ELSE 'FIXTURE' END AS equipment_type, 0.7::DOUBLE + (factory_code % 3) / 20 AS yield_retest_1, 0.85::DOUBLE + (factory_code % 2) / 20 AS yield_retest_2_plus,
-        0.7::DOUBLE + (factory_code % 4) / 40 AS retest_quote FROM fact GROUP BY 1, 2, 3, 4""",
+        0.7::DOUBLE + (factory_code % 4) / 40 AS retest_quote FROM fact WHERE test_type = ['AF', 'AO', 'NF', 'NO', 'RF', 'RO'][factory_code % 6 + 1] GROUP BY 1, 2, 3, 4""",
     "site_params": """SELECT DISTINCT site_code, month_key, 20 + region_no % 3 + month_key % 3 AS working_days_normal, 26 + region_no % 3 + month_key % 3 AS working_days_max, 2 AS shifts_per_day_normal, 3 AS shifts_per_day_max,
         8.0::DOUBLE AS hours_per_shift_normal, 8.0::DOUBLE + region_no % 2 AS hours_per_shift_max, 0.05::DOUBLE + region_no / 100 AS allowance_pct, 0.95::DOUBLE - region_no / 100 AS productivity_pct FROM fact""",
     "test_types": "SELECT DISTINCT l_returnflag || l_linestatus AS test_type, 'C-' || l_returnflag || l_linestatus AS test_category_id, lower(l_returnflag || l_linestatus) AS test_category_name FROM lineitem",
