@@ -107,22 +107,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _overlapping(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of an outside set and any of sets that could reach the similarity, by the rarest shingles of x.
-
-    An overlap of percent / (100 + percent) * (|x| + |y|) is needed. If the first common shingle in
-    the order of x by document frequency has r others before it, the overlap is |x| - r at most, so r
-    is bounded: only the rarest shingles of x are looked up, which few sets hold, however many are
-    alike in all others. y is at least percent / 100 as large as x, which bounds r before y is known.
+    """Pairs (x, y) of an outside set and any of sets in another component that could reach the similarity.
+
+    All sets order their shingles alike: first those that one component holds alone, the others by
+    document frequency. An overlap of percent / (100 + percent) * (|x| + |y|) is needed. If the first
+    common shingle has r others before it in x and q in y, the overlap is min(|x| - r, |y| - q) at
+    most, so r and q are bounded: only the first shingles of either set are posted, which few sets
+    hold, however many are alike in all others. The other set is at least percent / 100 as large,
+    which bounds r before y is known. Shingles of one component are counted, not posted, as sets of
+    two components don't share them; so a group of copies that is one component posts little.
     """
-    posted = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    df = materialize(posted.groupBy("s").agg(F.count("*").alias("df")), "near-df")
-    own = posted.join(outside, "id", "left_semi").join(df, "s")
-    own = own.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by_df"))
-    spare = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    probe = own.select(F.col("id").alias("x"), F.col("n").alias("n_x"), F.posexplode(F.slice("by_df", F.lit(1), spare)).alias("r", "e")).where("e.df > 1")
-    probe = materialize(probe.select("x", "n_x", "r", F.col("e.s").alias("s")), "near-probes")
-    enough = (100 + percent) * (F.col("n_x") - F.col("r")) >= percent * (F.col("n_x") + F.col("n"))
-    found = probe.join(posted, (probe["s"] == posted["s"]) & (F.col("x") != F.col("id")) & (100 * F.least("n", "n_x") >= percent * F.greatest("n", "n_x")) & enough)
+    posted = sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    df = posted.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    df = materialize(df.where("lo <> hi").select("s", "df"), "near-df")
+    own = posted.join(df, "s").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by_df"))
+    alone = F.col("n") - F.size("by_df")
+    spare = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int") - alone
+    rare = own.where(spare > 0).select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), spare)).alias("at", "e"))
+    rare = materialize(rare.select("id", "c", "n", (F.col("alone") + F.col("at")).alias("r"), F.col("e.s").alias("s")), "near-rare")
+    probe = rare.join(outside, "id", "left_semi").select(F.col("id").alias("x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"), F.col("r").alias("r_x"), "s")
+    probe = materialize(probe, "near-probes")
+    rest = F.least(F.col("n_x") - F.col("r_x"), F.col("n") - F.col("r"))
+    enough = (100 + percent) * rest >= percent * (F.col("n_x") + F.col("n"))
+    found = probe.join(rare, (probe["s"] == rare["s"]) & (F.col("c_x") != F.col("c")) & enough)
     return found.select("x", F.col("id").alias("y")).distinct()
 
 
@@ -142,9 +149,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
        smallest id and the most central set, the one with the most shared values. Agreeing
        coordinates are counted and pairs above ``matches`` confirmed on full sets.
     4. Of the lists whose sets are still in different components, those outside the list's largest
-       component are looked up by their rarest shingles among all sets of such lists. Any set that
-       is alike holds one of those, so no link that could join components is lost, and a large group
-       of copies costs a few pairs a member.
+       component are looked up by their rarest shingles among the sets of other components. Any set
+       that is alike has one of those among its own rarest, so no link that could join components is
+       lost, and a large group of copies costs a few pairs a member.
 
     A pair at the threshold is missed with a probability of about 2e-5, a closer one with less.
     Null and wordless texts have the empty set and are linked with nothing; a null doc_id has a null
@@ -176,11 +183,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     parts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
     member = materialize(member.join(materialize(mixed.select("key", F.col("top.c").alias("top")), "near-mixed"), "key"), "near-members")
-    open_sets = materialize(sets.join(member.select("id").distinct(), "id", "left_semi"), "near-open")
+    open_sets = materialize(sets.join(member.select("id", "c").distinct(), "id"), "near-open")
     cross = _overlapping(member.where("c <> top").select("id").distinct(), open_sets, percent)
-    c = materialize(member.select("id", "c").distinct(), "near-parts")
-    cross = cross.join(c.select(F.col("id").alias("x"), F.col("c").alias("c_x")), "x").join(c.select(F.col("id").alias("y"), F.col("c").alias("c_y")), "y")
-    cross = cross.where("c_x <> c_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _confirmed(_agreeing(materialize(cross, "near-cross"), sigs, matches), sets, percent)
     found = components(links.unionByName(more))
 
