@@ -102,7 +102,8 @@ def fit(labelled: DataFrame, max_terms: int = 2000, min_df: int = 3) -> dict:
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(d, t, c) for d, t, x in zip(pdf["doc_id"], pdf["toxic"], pdf["text"], strict=True) if (c := term_counts(x, vocabulary))]
-            yield pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows], "terms": [list(r[2]) for r in rows], "counts": [list(r[2].values()) for r in rows]})
+            if rows:  # an empty column has no list type
+                yield pd.DataFrame({"doc_id": [r[0] for r in rows], "toxic": [r[1] for r in rows], "terms": [list(r[2]) for r in rows], "counts": [list(r[2].values()) for r in rows]})
 
     got = labelled.mapInPandas(counted, "doc_id long, toxic int, terms array<string>, counts array<int>").collect()
     examples = sorted((r["doc_id"], r["toxic"], dict(sorted(zip(r["terms"], r["counts"], strict=True)))) for r in got) if got else []
@@ -155,7 +156,7 @@ def scorer(spark: SparkSession, model: dict, k: int = 15, weight_of_prior: float
                 seen[key] = (float((w @ y + weight_of_prior * prior) / (w.sum() + weight_of_prior)) if near else prior, [int(index.docs[i]) for _, i in near])
             scores.append(seen[key][0])
             evidence.append(seen[key][1])
-        return pd.DataFrame({"score": scores, "evidence": evidence})
+        return pd.DataFrame({"score": pd.Series(scores, dtype=float), "evidence": pd.Series(evidence, dtype=object)})
 
     return lambda text: of(text)
 
