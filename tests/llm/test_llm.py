@@ -329,6 +329,37 @@ def test_chains_and_alignment():
     assert chain_dedup.common_words(a, b) == 4
 
 
+def test_chains_find_the_best_predecessor_in_reach():
+    rng = random.Random(19)
+    for _ in range(60):
+        n, wide = rng.choice([(30, 60), (80, 60), (60, 400)])
+        points = sorted({(x, min(wide, max(0, x + rng.choice([0, 0, 3, 30, -45])))) for x in (rng.randrange(wide) for _ in range(n))})
+        p, q = (np.array(v) for v in zip(*points))
+        best = []
+        for i in range(len(p)):
+            near = [j for j in range(i) if 0 < p[i] - p[j] <= 40 and 0 < q[i] - q[j] <= 40 and abs((p[i] - p[j]) - (q[i] - q[j])) <= 20]
+            best.append(5 + max([0.0, *(best[j] - 0.1 * (p[i] - p[j] + q[i] - q[j]) for j in near)]))
+        run = chain_dedup.chains(p, q, 5)[0]
+        cost = sum(0.1 * (p[y] - p[x] + q[y] - q[x]) for x, y in zip(run, run[1:]))
+        assert abs(5 * len(run) - cost - max(best)) < 1e-9
+
+
+@pytest.mark.parametrize("gap", [39, 45])
+def test_two_passages_and_an_inserted_block(spark, gap):
+    rng = random.Random(20)
+    vocab = [f"w{i}" for i in range(40000)]
+    one, two, long = prose(rng, 60, vocab), prose(rng, 52, vocab), prose(rng, 2000, vocab).split()
+    texts = [" ".join([one, prose(rng, gap, vocab), two]) for _ in range(2)]
+    texts += [" ".join(long), " ".join([*long[:1000], *prose(rng, 25, vocab).split(), *long[1000:]])]
+    covered = {}
+    for r in chain_dedup.repeated_passages(table(spark, texts)).collect():
+        for d, s, e in ((r["doc_id"], r["start_word"], r["end_word"]), (r["other_id"], r["other_start"], r["other_end"])):
+            covered.setdefault(d, set()).update(range(s, e))
+    for d in (0, 1):
+        assert covered[d] >= {*range(60), *range(60 + gap, 112 + gap)}
+    assert len(covered[2]) == 2000 and covered[3] >= {*range(1000), *range(1025, 2025)}
+
+
 # 10
 
 
