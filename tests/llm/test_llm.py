@@ -360,6 +360,30 @@ def test_two_passages_and_an_inserted_block(spark, gap):
     assert len(covered[2]) == 2000 and covered[3] >= {*range(1000), *range(1025, 2025)}
 
 
+@pytest.mark.parametrize("strangers", [1, 45])
+def test_middle_documents_share_a_passage_of_two_families(spark, strangers):
+    """Each half is quoted elsewhere, below and above in doc_id; all-pairs brute force finds the pairs that share 50 words."""
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(40000)]
+    new = lambda n: prose(rng, n, vocab)
+    halves = [[new(30), new(30)] for _ in range(2)]
+    quotes = [" ".join([new(40), halves[i % 2][i // 2 % 2], new(40)]) for i in range(4 * strangers)]
+    middle = [" ".join([new(35), *halves[i % 2], new(35)]) for i in range(4)] + [" ".join([new(35), *halves[0], new(90), *halves[0], new(9)])]
+    texts = quotes + middle + quotes[::-1]
+    texts = [" ".join(w + "x" if i < 40 or i >= 70 else w for i, w in enumerate(t.split())) if n >= len(quotes) + 5 else t for n, t in enumerate(texts)]
+    grams, want = {}, set()
+    for d, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 49):
+            grams.setdefault(tuple(w[i : i + 50]), []).append((d, i))
+    for held in grams.values():
+        want |= {(x, y) for x in held for y in held if x > y}
+    assert len({(x[0], y[0]) for x, y in want}) == 5
+    rows = chain_dedup.repeated_passages(table(spark, texts)).collect()
+    inside = lambda x, y: any((r["doc_id"], r["other_id"]) == (x[0], y[0]) and r["start_word"] <= x[1] <= r["end_word"] - 50 and r["other_start"] <= y[1] <= r["other_end"] - 50 for r in rows)
+    assert [(x, y) for x, y in want if not inside(x, y)] == []
+
+
 # 10
 
 
