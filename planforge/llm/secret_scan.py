@@ -16,11 +16,13 @@ from pyspark.sql import functions as F
 from planforge.llm.common import materialize, read
 from planforge.llm.langid import load_pieces, vocabulary_path
 
-#: A candidate: a run of 12 or more characters of keys and tokens.
+#: A run of 12 or more characters of keys and tokens.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}={0,2}")
 #: Published formats of well-known keys, words before a secret, and stand-ins for one.
 FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}")
 BEFORE = frozenset("password passwd pwd secret token apikey api_key access_key private_key auth credential".split())
+#: What is assigned to such a word: up to the closing quote, or to the next blank, quote or angle bracket.
+ASSIGNED = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(sorted(BEFORE))})(?!\w)\W{{0,16}}?[=:]\s{{0,16}}(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"']?([^\s\"'<>]+))")
 STAND_INS = re.compile(r"(?i)example|xxxx|changeme|placeholder|0123456789|abcdefgh")
 
 FINDING = "doc_id long, start int, end int, length int, finding_sha256 string, weak_label int, raw array<double>"
@@ -81,7 +83,7 @@ def describe(text: str, start: int, end: int, log_p: np.ndarray, dictionary: fro
     value = text[start:end]
     raw = np.frombuffer(value.encode(), dtype=np.uint8)
     c = CLASS_OF[raw]
-    steps = log_p[c[:-1], c[1:]]
+    steps = log_p[c[:-1], c[1:]] if len(c) > 1 else np.zeros(1)
     kinds = np.array([np.char.isdigit(list(value)).mean(), sum(x.isupper() for x in value) / len(value), sum(x.islower() for x in value) / len(value)])
     counts = np.bincount(raw, minlength=128)
     share = counts[counts > 0] / len(raw)
@@ -97,13 +99,33 @@ def describe(text: str, start: int, end: int, log_p: np.ndarray, dictionary: fro
         near[NEIGHBOURS + _bucket(w)] = 1
     label = bool(FORMATS.fullmatch(value)) or assigned and bool(words) and words[-1] in BEFORE
     label = label and not STAND_INS.search(value)
-    numbers = [len(value), float(steps.mean()), float(steps.min()), float(np.abs(np.diff(c)).mean()), float(-(share * np.log2(share)).sum()), covered(value, dictionary), *kinds, assigned, *path]
+    numbers = [len(value), float(steps.mean()), float(steps.min()), float(np.abs(np.diff(c)).mean()) if len(c) > 1 else 0.0, float(-(share * np.log2(share)).sum()), covered(value, dictionary), *kinds, assigned, *path]
     return [float(x) for x in numbers] + near.tolist(), int(label)
 
 
 def worth_a_look(value: str) -> bool:
-    """Has a digit, or is in capitals throughout: other long runs are words."""
-    return any(x.isdigit() for x in value) or value.isupper()
+    """Has a digit or a known format, is in capitals throughout, padded, or has a capital after a small letter: other long runs are words."""
+    return bool(re.search(r"[0-9]|=$|[a-z][A-Z]", value)) or value.isupper() or bool(FORMATS.fullmatch(value))
+
+
+def spans(text: str, judged: tuple[int, ...] = ()) -> list[tuple[int, int]]:
+    """Start and end of every candidate, one for each start.
+
+    Candidates are the runs of 12 or more of ``A-Z a-z 0-9 + / _ -`` that are ``worth_a_look``, whatever
+    is assigned to a word of ``BEFORE`` (any length, any characters), every match of ``FORMATS``, and
+    what stands up to the next blank at a ``judged`` start. Of two with one start, a known format goes
+    before the longer.
+    """
+    found = [m.span() for m in CANDIDATE.finditer(text) if worth_a_look(m[0])] + [m.span() for m in FORMATS.finditer(text)]
+    for m in ASSIGNED.finditer(text):
+        start = m.start(m.lastindex)
+        found.append((start, start + len(m[m.lastindex].rstrip(",;") or m[m.lastindex])))
+    known = {start for start, _ in found}
+    found += [(x, m.end()) for x in judged if x not in known and (m := re.compile(r"\S+").match(text, x))]
+    best: dict[int, tuple[bool, int]] = {}
+    for start, end in found:
+        best[start] = max(best.get(start, (False, 0)), (bool(FORMATS.fullmatch(text, start, end)), end))
+    return [(start, end) for start, (_, end) in sorted(best.items())]
 
 
 def _find(shared):
@@ -111,22 +133,25 @@ def _find(shared):
         log_p, dictionary = shared.value
         for pdf in batches:
             out = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                for m in CANDIDATE.finditer(text or ""):
-                    if worth_a_look(m[0]):
-                        raw, label = describe(text, m.start(), m.end(), log_p, dictionary)
-                        digest = hashlib.sha256(m[0].encode()).hexdigest()
-                        out.append((None if pd.isna(doc) else int(doc), m.start(), m.end(), len(m[0]), digest, label, raw))
+            judged = pdf["judged"] if "judged" in pdf else [None] * len(pdf)
+            for doc, text, starts in zip(pdf["doc_id"], pdf["text"], judged, strict=True):
+                for start, end in spans(text or "", () if starts is None else tuple(starts)):
+                    raw, label = describe(text, start, end, log_p, dictionary)
+                    digest = hashlib.sha256(text[start:end].encode()).hexdigest()
+                    out.append((None if pd.isna(doc) else int(doc), start, end, end - start, digest, label, raw))
             yield pd.DataFrame(out, columns=["doc_id", "start", "end", "length", "finding_sha256", "weak_label", "raw"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Every candidate of every whole text with its features; the value itself is only given as a digest."""
+def candidates(docs: DataFrame, path: str | None = None, labelled: DataFrame | None = None) -> DataFrame:
+    """Every candidate (see ``spans``) of every whole text with its features; the value itself is only given as a digest."""
     dictionary = frozenset(p.lstrip("▁") for p in load_pieces(path or vocabulary_path()) if len(p.lstrip("▁")) > 2)
     shared = docs.sparkSession.sparkContext.broadcast((transition_model(docs), dictionary))
-    return docs.select("doc_id", "text").mapInPandas(_find(shared), FINDING)
+    rows = docs.select("doc_id", "text")
+    if labelled is not None:
+        rows = rows.join(labelled.groupBy("doc_id").agg(F.collect_set(F.col("start").cast("int")).alias("judged")), "doc_id", "left")
+    return rows.mapInPandas(_find(shared), FINDING)
 
 
 def train_forest(labelled: DataFrame, trees: int = 30, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel:
@@ -142,12 +167,12 @@ def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, max_finding
     are labelled by published key formats and by words such as ``password`` before an assignment.
     The forest is trained on about ``max_findings`` labelled findings at most, drawn by a hash, and
     sees length, character transitions, entropy, dictionary coverage, path marks and hashed
-    neighbouring words, never the label's rule. All candidates of all texts are scored.
+    neighbouring words, never the label's rule. All candidates of all texts are scored; ``spans`` says what is one.
 
     Null and empty texts have no candidates. If all labels agree, every score is that label.
     Repeated rows are scanned each; an empty table gives an empty result.
     """
-    found = materialize(candidates(docs, path), "secret-findings")
+    found = materialize(candidates(docs, path, labelled), "secret-findings")
     if labelled is None:
         known = found.withColumn("label", F.col("weak_label"))
     else:

@@ -195,6 +195,17 @@ def test_secrets(spark):
     assert {r["score"] for r in secret_scan.scan_secrets(table(spark, texts[40:80])).collect()} == {0.0}
 
 
+def test_secrets_without_digits_short_or_with_other_characters(spark):
+    values = ["CorrectHorseBattery", "correcthorsebattery", "p@$.!#", "x", "sk_live_" + "abcdefghij" * 2, "pässwort", "two words"]
+    texts = [f"intro password={v} outro" for v in values[:4]] + [f"see {values[4]} there", f"Secret: {values[5]}", f"pwd = '{values[6]}'", "QWxhZGRpbkpvcGVuU2VzYW1l", "a judged/one here"]
+    judged = spark.createDataFrame([(8, 2, 1), (0, 15, 1), (7, 0, 0)], "doc_id long, start int, label int")
+    want = [*values, texts[7]]
+    for labelled in (None, judged):
+        rows = secret_scan.scan_secrets(table(spark, texts), labelled).collect()
+        got = {(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in rows}
+        assert len(rows) == len(got) and got == {*enumerate(want)} | ({(8, "judged/one")} if labelled is not None else set())
+
+
 # 6
 
 
