@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from planforge.llm.common import materialize
+from planforge.llm.common import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,11 +20,13 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(both, "cc-links")
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), "cc-labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
         moved = lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("next", "low")).alias("label"), F.col("label").alias("was"))
         moved = materialize(moved, "cc-labels")
-        labels = moved.select("node", "label")
+        release(labels)
+        labels = moved
         if not moved.where("label <> was").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+            release(edges)
+            return moved.select("node", F.col("label").alias("component"))

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planforge.llm.common import materialize, read
+from planforge.llm.common import Tables, in_slices, materialize, read
 from planforge.llm.components import components
 from planforge.llm.rolling import in_blocks, shingles, word_hashes
 
 _SETS = "doc_id long, n_shingles long, digest binary, sig array<bigint>"
+#: Bits of the parity sketch of a set.
+PARITY = 1024
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -56,8 +59,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 def _sketch(size: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in in_slices(whole):
                 sets = shingle_sets(_texts(batch), size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signatures([sets[i] for i in full], coordinates).view(np.int64) if full else np.empty((0, coordinates), np.int64)
@@ -75,23 +77,29 @@ def _sketch(size: int, coordinates: int):
     return run
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Bit b of a set's sketch: whether an odd number of its shingles fall on b. Two sketches differ in |x - y| + |y - x| bits at most."""
+    odd = (np.bincount((shingles >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _full_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in in_slices(whole):
                 sets = shingle_sets(_texts(batch), size)
                 offsets = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "shingles"])
+                flat = np.concatenate(sets).view(np.int64)
+                sketches = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([parity(s) for s in sets])), PARITY // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), sketches], names=["id", "shingles", "parity"])
 
     return run
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
+def _agreeing(pairs: DataFrame, sigs: DataFrame, matches: int, keep: Tables) -> DataFrame:
     """Pairs whose signatures agree in ``matches`` coordinates at least."""
     involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    few = materialize(sigs.join(involved, "id", "left_semi"), "near-sigs")
+    few = keep(sigs.join(involved, "id", "left_semi"), "near-sigs")
     both = pairs.join(few.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
     both = both.join(few.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
@@ -106,7 +114,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (sizes - shared)).select("a", "b")
 
 
-def _overlapping(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _overlapping(outside: DataFrame, sets: DataFrame, percent: int, keep: Tables) -> DataFrame:
     """Pairs (x, y) of an outside set and any of sets in another component that could reach the similarity.
 
     All sets order their shingles alike: first those that one component holds alone, the others by
@@ -116,19 +124,24 @@ def _overlapping(outside: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     hold, however many are alike in all others. The other set is at least percent / 100 as large,
     which bounds r before y is known. Shingles of one component are counted, not posted, as sets of
     two components don't share them; so a group of copies that is one component posts little.
+    Sets that meet in very many shingles and are yet below the similarity differ in more bits of
+    their parity sketches than sets at the similarity can, and are told apart while they are joined.
     """
     posted = sets.select("id", "c", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     df = posted.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    df = materialize(df.where("lo <> hi").select("s", "df"), "near-df")
+    df = keep(df.where("lo <> hi").select("s", "df"), "near-df")
     own = posted.join(df, "s").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("by_df"))
     alone = F.col("n") - F.size("by_df")
     spare = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int") - alone
     rare = own.where(spare > 0).select("id", "c", "n", alone.alias("alone"), F.posexplode(F.slice("by_df", F.lit(1), spare)).alias("at", "e"))
-    rare = materialize(rare.select("id", "c", "n", (F.col("alone") + F.col("at")).alias("r"), F.col("e.s").alias("s")), "near-rare")
-    probe = rare.join(outside, "id", "left_semi").select(F.col("id").alias("x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"), F.col("r").alias("r_x"), "s")
-    probe = materialize(probe, "near-probes")
+    rare = rare.select("id", "c", "n", (F.col("alone") + F.col("at")).alias("r"), F.col("e.s").alias("s")).join(sets.select("id", "parity"), "id")
+    rare = keep(rare, "near-rare")
+    probe = rare.join(outside, "id", "left_semi").select(F.col("id").alias("x"), F.col("c").alias("c_x"), F.col("n").alias("n_x"), F.col("r").alias("r_x"), F.col("parity").alias("parity_x"), "s")
+    probe = keep(probe, "near-probes")
     rest = F.least(F.col("n_x") - F.col("r_x"), F.col("n") - F.col("r"))
     enough = (100 + percent) * rest >= percent * (F.col("n_x") + F.col("n"))
+    apart = reduce(Column.__add__, [F.bit_count(F.col("parity_x")[i].bitwiseXOR(F.col("parity")[i])) for i in range(PARITY // 64)])
+    enough &= (100 + percent) * apart <= (100 - percent) * (F.col("n_x") + F.col("n"))
     found = probe.join(rare, (probe["s"] == rare["s"]) & (F.col("c_x") != F.col("c")) & enough)
     return found.select("x", F.col("id").alias("y")).distinct()
 
@@ -153,41 +166,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
        that is alike has one of those among its own rarest, so no link that could join components is
        lost, and a large group of copies costs a few pairs a member.
 
-    A pair at the threshold is missed with a probability of about 2e-5, a closer one with less.
+    A pair at the threshold agrees in fewer than ``matches`` coordinates, and is missed, with a
+    probability of 4.3e-5 (binomial), a closer one with less. Sets are sets of 64-bit hashes of
+    shingles, for the confirmation too. Of a long text's words a task holds arrays, texts of one
+    batch together about 4 MB.
     Null and wordless texts have the empty set and are linked with nothing; a null doc_id has a null
     component. Repeated rows are equal sets. An empty table gives an empty result.
     """
     base = materialize(docs.select("doc_id", "text").mapInArrow(_sketch(size, coordinates), _SETS), "near-base")
     reps = base.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"))
-    reps = materialize(reps, "near-reps")
+    reps, keep = materialize(reps, "near-reps"), Tables()
     sigs = base.select(F.col("doc_id").alias("id"), "sig").join(reps.select("id"), "id", "left_semi")
-    sigs = materialize(sigs, "near-signatures")
+    sigs = keep(sigs, "near-signatures")
     postings = sigs.select("id", F.posexplode("sig").alias("k", "v")).select("id", F.xxhash64("k", "v").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(shared, "near-shared")  # sides of their own let adaptive execution split a hot value
+    shared = keep(shared, "near-shared")  # sides of their own let adaptive execution split a hot value
     listed = postings.join(shared, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     listed = listed.withColumn("shared", F.size("keys")).where(F.col("shared") >= matches)
     prefix = listed.select("id", "shared", F.explode(F.slice("keys", F.lit(1), F.col("shared") - matches + 1)).alias("x"))
-    prefix = materialize(prefix.select("id", "shared", F.col("x.key").alias("key")), "near-prefix")
+    prefix = keep(prefix.select("id", "shared", F.col("x.key").alias("key")), "near-prefix")
     sets = docs.select("doc_id", "text").join(prefix.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = materialize(sets.mapInArrow(_full_sets(size), "id long, shingles array<bigint>"), "near-sets")
+    sets = keep(sets.mapInArrow(_full_sets(size), "id long, shingles array<bigint>, parity array<bigint>"), "near-sets")
 
     central = F.max(F.struct("shared", -F.col("id"))).getField("col2")
     ends = prefix.groupBy("key").agg(F.min("id").alias("lo"), (-central).alias("mid"), F.count("*").alias("n")).where("n > 1")
-    starred = prefix.join(materialize(ends, "near-ends"), "key").select("id", F.explode(F.array("lo", "mid")).alias("end")).where("id <> end")
-    first = materialize(starred.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "near-pairs")
-    links = materialize(_confirmed(_agreeing(first, sigs, matches), sets, percent), "near-links")
+    starred = prefix.join(keep(ends, "near-ends"), "key").select("id", F.explode(F.array("lo", "mid")).alias("end")).where("id <> end")
+    first = keep(starred.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), "near-pairs")
+    links = keep(_confirmed(_agreeing(first, sigs, matches, keep), sets, percent), "near-links")
     found = components(links)
 
     member = prefix.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     parts = member.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
-    member = materialize(member.join(materialize(mixed.select("key", F.col("top.c").alias("top")), "near-mixed"), "key"), "near-members")
-    open_sets = materialize(sets.join(member.select("id", "c").distinct(), "id"), "near-open")
-    cross = _overlapping(member.where("c <> top").select("id").distinct(), open_sets, percent)
+    member = keep(member.join(keep(mixed.select("key", F.col("top.c").alias("top")), "near-mixed"), "key"), "near-members")
+    open_sets = keep(sets.join(member.select("id", "c").distinct(), "id"), "near-open")
+    cross = _overlapping(member.where("c <> top").select("id").distinct(), open_sets, percent, keep)
     cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _confirmed(_agreeing(materialize(cross, "near-cross"), sigs, matches), sets, percent)
+    more = _confirmed(_agreeing(keep(cross, "near-cross"), sigs, matches, keep), sets, percent)
     found = components(links.unionByName(more))
+    keep.release()
 
     class_of = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("component", "id").alias("c"))
     out = base.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(class_of, "digest", "left")

@@ -116,6 +116,39 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_large_group_that_is_alike_in_a_chain_only(spark, monkeypatch):
+    """Edits of one text: most are just below the similarity to each other, some are linked through others only."""
+    from planforge.llm import common
+
+    rng = random.Random(7)
+    base, step = prose(rng, 150).split(), prose(rng, 150).split()
+    texts = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(3 + rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"w{rng.random()}"
+        texts.append(" ".join(w))
+    for i in range(60):
+        step = list(step)
+        step[(37 * i) % len(step)] = f"v{i}"
+        texts.append(" ".join(step))
+    rng.shuffle(texts)
+    want, _ = jaccard_components(texts, 5, 80)
+    joined = []
+    write = common.Tables.__call__
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name in ("near-pairs", "near-cross"):
+            joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Tables, "__call__", counted)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert 20 < len(set(want)) < 300 and sum(joined) < 20 * len(texts), joined
+
+
 def test_near_duplicates_null_and_repeated_ids(spark):
     text = prose(random.Random(1), 30)
     got = near_dedup.near_duplicates(table(spark, [text, text, text + " more", "x"], ids=[3, 3, None, 9])).collect()
