@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from planforge.llm.common import read
-from planforge.llm.rolling import Rolling, mix
+from planforge.llm.rolling import Rolling, mix, sliding_least
 
 BLOCK = 64
 #: Documents are worked on in segments of so many suffixes, which bounds the arrays of a long one.
@@ -44,17 +44,6 @@ DDL = {
 }
 
 
-def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
-    """The least of every ``width`` neighbours, from running minima of blocks."""
-    n = len(keys) - width + 1
-    padded = np.full(-(-len(keys) // width) * width, np.iinfo(np.uint64).max, dtype=np.uint64)
-    padded[: len(keys)] = keys
-    rows = padded.reshape(-1, width)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 class Strings:
     """80-bit fingerprints of any substrings of a segment."""
 

@@ -428,6 +428,53 @@ def test_middle_documents_share_a_passage_of_two_families(spark, strangers):
     assert [(x, y) for x, y in want if not inside(x, y)] == []
 
 
+@pytest.mark.parametrize("quoted", [12, 40])
+def test_a_passage_between_quotes_of_its_parts(spark, quoted):
+    """Two documents share 100 words; 8 with smaller ids and 8 with larger ones quote short parts of them."""
+    rng = random.Random(22)
+    vocab = [f"w{i}" for i in range(40000)]
+    new = lambda n: prose(rng, n, vocab)
+    passage = prose(rng, 100, vocab).split()
+    quotes = [" ".join([new(40), *passage[i : i + quoted], new(40)]) for i in (rng.randrange(100 - quoted) for _ in range(16))]
+    texts = quotes[:8] + [" ".join([new(35), *passage, new(30)]) for _ in range(2)] + quotes[8:]
+    rows = chain_dedup.repeated_passages(table(spark, texts)).collect()
+    assert any((r["doc_id"], r["other_id"]) == (9, 8) and r["start_word"] <= 35 and r["end_word"] >= 135 and r["other_start"] <= 35 and r["other_end"] >= 135 for r in rows)
+
+
+def test_recall_of_passages_against_all_pairs(spark):
+    """Passages of several families in many documents, some with a few words replaced; brute force compares all pairs."""
+    rng = random.Random(23)
+    vocab = [f"w{i}" for i in range(3000)]
+    families = [prose(rng, rng.randrange(60, 160), vocab).split() for _ in range(8)]
+    texts = []
+    for i in range(150):
+        parts = [prose(rng, rng.randrange(20, 60), vocab)]
+        for f in rng.sample(families, rng.randrange(3)) + [families[0]] * (i % 3 == 0):
+            a = rng.randrange(len(f) // 3)
+            w = f[a : rng.randrange(len(f) * 2 // 3, len(f) + 1)]
+            w = [x if rng.random() > 0.03 else "changed" + x for x in w] if rng.random() < 0.4 else w
+            parts += [" ".join(w), prose(rng, rng.randrange(10, 50), vocab)]
+        texts.append(" ".join(parts))
+    texts += texts[5:9]
+    words = [t.lower().split() for t in texts]
+    held = {}  # exact runs of 50 words, at every place
+    for d, w in enumerate(words):
+        for i in range(len(w) - 49):
+            held.setdefault(tuple(w[i : i + 50]), set()).add(d)
+    want = {d: set() for d in range(len(texts))}
+    for d, w in enumerate(words):
+        for i in range(len(w) - 49):
+            if len(held[tuple(w[i : i + 50])]) > 1:
+                want[d].update(range(i, i + 50))
+    got = {d: set() for d in range(len(texts))}
+    for r in chain_dedup.repeated_passages(table(spark, texts)).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        got[r["other_id"]].update(range(r["other_start"], r["other_end"]))
+    missed = sum(len(want[d] - got[d]) for d in want)
+    assert sum(map(len, want.values())) > 5000 and missed <= 0.005 * sum(map(len, want.values()))
+    assert {d for d in want if want[d]} <= {d for d in got if got[d]}
+
+
 # 10
 
 
