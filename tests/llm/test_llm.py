@@ -184,16 +184,60 @@ def test_languages(spark):
 
 def test_block_max_index_is_exact():
     rng = random.Random(5)
-    terms = [f"t{i}" for i in range(30)]
-    idf = {t: rng.uniform(1, 5) for t in terms}
-    examples = [(i, rng.randrange(2), {t: rng.randint(1, 4) for t in rng.sample(terms, rng.randint(1, 6))}) for i in range(200)]
-    index = toxicity.BlockMaxIndex(idf, examples, block=8)
-    vectors = {d: index.vector(c) for d, _, c in examples}
-    for _ in range(40):
-        q = {t: rng.randint(1, 3) for t in rng.sample(terms, 4)}
-        v = index.vector(q)
-        want = sorted(((-round(sum(w * x.get(t, 0) for t, w in v.items()), 9), d) for d, x in vectors.items()))[:7]
-        assert [(-round(s, 9), int(index.docs[i])) for s, i in index.nearest(q, 7)] == [w for w in want if w[0] < 0]
+    terms = [f"t{i}" for i in range(60)]
+    weights = {t: rng.uniform(1, 5) for t in terms}
+    examples = [(i, rng.randrange(2), {t: rng.randint(1, 4) for t in [*rng.sample(terms, rng.randint(1, 6)), *rng.sample(terms[:4], 2)]}) for i in range(900)]
+    index = toxicity.BlockMaxIndex(weights, examples, block=8)
+    assert 0 < len(index.rows) < len(terms)  # both kinds of lists
+    vectors = {d: dict(zip(*(v.tolist() for v in index.vector(c)))) for d, _, c in examples}
+    for other in [None] * 40 + list(range(20)):
+        q = {t: rng.randint(1, 3) for t in [*rng.sample(terms, 4), "unknown"]} if other is None else examples[other][2]
+        v = dict(zip(*(x.tolist() for x in index.vector(q))))
+        want = sorted((-round(sum(w * x.get(t, 0) for t, w in v.items()), 9), d) for d, x in vectors.items() if d != other)[:7]
+        got = [(-round(s, 9), int(index.docs[i])) for s, i in index.nearest(q, 7, other)]
+        assert [s for s, _ in got] == [s for s, _ in want] and set(got) <= {(-round(sum(w * vectors[d].get(t, 0) for t, w in v.items()), 9), d) for _, d in got}
+
+
+def test_toxicity_vote_and_calibration_against_plain_versions(spark):
+    """The scores of whole texts from all-pairs cosines, the vote and the calibration computed anew."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(150)]
+    texts = [" ".join(rng.choices(vocab, k=rng.randrange(3, 30)) + (["vile"] if i % 3 == 0 and rng.random() < 0.8 else [])) for i in range(90)] + [None, "unseen"]
+    df = table(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, labels).collect()}
+    counts = {i: Counter((t or "").split()) for i, t in enumerate(texts)}
+    few = [i for i in range(90) if zlib.crc32(str(i).encode()) % 5]
+    n, p = len(few), sum(i % 3 == 0 for i in few)
+    weight = {}
+    for t in {t for i in few for t in counts[i]}:
+        d, a, every = sum(t in counts[i] for i in few), sum(t in counts[i] for i in few if i % 3 == 0), sum(t in c for c in counts.values())
+        phi2 = (a * n - d * p) ** 2 / (d * (n - d) * p * (n - p)) if d < n else 0
+        weight[t] = (math.log((1 + len(texts)) / (1 + every)) + 1) * (0.05 + math.sqrt(max(0, phi2 - 8 / n)))
+    unit = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(m)) * weight[t] for t, m in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        unit[i] = {t: x / norm for t, x in v.items()}
+
+    def odds(i, without=None):
+        near = sorted((-round(sum(x * unit[j].get(t, 0) for t, x in unit[i].items()), 12), j) for j in few if j != without)[:15]
+        near = [(-s, j) for s, j in near if s < 0]
+        w = [s / (0.02 + max(0, 1 - s) ** 2) for s, _ in near]
+        v = (sum(x for x, (_, j) in zip(w, near) if j % 3 == 0) + 2 * p / n) / (sum(w) + 2)
+        return math.log(v / (1 - v))
+
+    slope, shift = toxicity.logistic(np.array([odds(i, i) for i in few]), np.array([i % 3 == 0 for i in few], float))
+    for i in counts:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-slope * odds(i) - shift)), abs=1e-6)
+    x, y = np.array([odds(i, i) for i in few]), np.array([i % 3 == 0 for i in few], float)
+    fitted = 1 / (1 + np.exp(-slope * x - shift))
+    assert abs(fitted.sum() - y.sum()) < 0.05  # calibrated: as many expected as there are
+    repeated = spark.createDataFrame([(1, "vile w1", "x"), (1, "vile w1", "y")], "doc_id long, text string, score string")
+    assert len({r["score"] for r in toxicity.score_toxicity(repeated.union(df.select("doc_id", "text", "lang")), labels).where("doc_id = 1").collect()}) <= 2
 
 
 def test_toxicity(spark):
