@@ -15,19 +15,21 @@ from pyspark.sql import functions as F
 
 from planforge.llm.common import materialize, read
 from planforge.llm.langid import load_pieces, vocabulary_path
+from planforge.llm.secret_examples import judged_findings
 
 #: A run of 12 or more characters of keys and tokens.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{12,}={0,2}")
-#: Published formats of well-known keys, words before a secret, and stand-ins for one.
+#: Three parts of a signed token, joined by dots.
+SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]*\.eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]*")
+#: Published formats of well-known keys, and words before a secret.
 FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}")
 BEFORE = frozenset("password passwd pwd secret token apikey api_key access_key private_key auth credential".split())
 #: What is assigned to such a word: up to the closing quote, or to the next blank, quote or angle bracket.
 ASSIGNED = re.compile(rf"(?i)(?<!\w)(?:{'|'.join(sorted(BEFORE))})(?!\w)\W{{0,16}}?[=:]\s{{0,16}}(?:\"([^\"\n]+)\"|'([^'\n]+)'|[\"']?([^\s\"'<>]+))")
-STAND_INS = re.compile(r"(?i)example|xxxx|changeme|placeholder|0123456789|abcdefgh")
 
-FINDING = "doc_id long, start int, end int, length int, finding_sha256 string, weak_label int, raw array<double>"
+FINDING = "doc_id long, start int, end int, length int, finding_sha256 string, raw array<float>"
 CLASSES = 39
-NEIGHBOURS = 24
+NEIGHBOURS = 12
 
 
 def _classes() -> np.ndarray:
@@ -78,45 +80,48 @@ def _bucket(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=4).digest(), "big") % NEIGHBOURS
 
 
-def describe(text: str, start: int, end: int, log_p: np.ndarray, dictionary: frozenset[str]) -> tuple[list[float], int]:
-    """Features of the candidate text[start:end], and its label by the fixed formats and words before it."""
-    value = text[start:end]
+_SHAPES: dict[str, list[float]] = {}
+
+
+def shape(value: str, log_p: np.ndarray, dictionary: frozenset[str]) -> list[float]:
+    """Features of the value alone: length, transitions, spread, entropy, dictionary coverage, kinds of characters. The last are remembered."""
+    if value in _SHAPES:
+        return _SHAPES[value]
     raw = np.frombuffer(value.encode(), dtype=np.uint8)
     c = CLASS_OF[raw]
     steps = log_p[c[:-1], c[1:]] if len(c) > 1 else np.zeros(1)
-    kinds = np.array([np.char.isdigit(list(value)).mean(), sum(x.isupper() for x in value) / len(value), sum(x.islower() for x in value) / len(value)])
-    counts = np.bincount(raw, minlength=128)
+    counts = np.bincount(raw)
     share = counts[counts > 0] / len(raw)
+    n = len(value)
+    out = [n, float(steps.mean()), float(steps.min()), float(np.abs(np.diff(c)).mean()) if len(c) > 1 else 0.0, float(-(share * np.log2(share)).sum()), covered(value, dictionary)]
+    out += [sum(map(str.isdigit, value)) / n, sum(map(str.isupper, value)) / n, sum(map(str.islower, value)) / n, value.count("/") / n, value.count("-") / n, value.count("_") / n, value.count(".") / n]
+    if len(_SHAPES) >= 50_000:
+        _SHAPES.clear()
+    _SHAPES[value] = out
+    return out
+
+
+def describe(text: str, start: int, end: int, log_p: np.ndarray, dictionary: frozenset[str]) -> list[float]:
+    """Features of the candidate text[start:end]: its shape, path marks around it and hashed neighbouring words."""
     before, after = text[max(0, start - 48) : start], text[end : end + 32]
-    words = re.findall(r"\w+", before.lower())[-2:]
-    following = re.findall(r"\w+", after.lower())[:1]
-    assigned = bool(re.search(r"[=:]\s*[\"']?$", before))
-    path = (before[-1:] in "/.\\@", after[:1] in "/.\\@", value.count("/") / len(value), value.count("-") / len(value), "://" in before[-24:], bool(re.match(r"\.[A-Za-z]{2,4}\b", after)))
-    near = np.zeros(2 * NEIGHBOURS)
-    for w in words:
-        near[_bucket(w)] = 1
-    for w in following:
-        near[NEIGHBOURS + _bucket(w)] = 1
-    label = bool(FORMATS.fullmatch(value)) or assigned and bool(words) and words[-1] in BEFORE
-    label = label and not STAND_INS.search(value)
-    numbers = [len(value), float(steps.mean()), float(steps.min()), float(np.abs(np.diff(c)).mean()) if len(c) > 1 else 0.0, float(-(share * np.log2(share)).sum()), covered(value, dictionary), *kinds, assigned, *path]
-    return [float(x) for x in numbers] + near.tolist(), int(label)
-
-
-def worth_a_look(value: str) -> bool:
-    """Has a digit or a known format, is in capitals throughout, padded, or has a capital after a small letter: other long runs are words."""
-    return bool(re.search(r"[0-9]|=$|[a-z][A-Z]", value)) or value.isupper() or bool(FORMATS.fullmatch(value))
+    near = [0.0] * (3 * NEIGHBOURS)
+    words = re.findall(r"\w+", before.lower())[-2:][::-1] + [None, None]
+    for i, w in enumerate([*words[:2], *re.findall(r"\w+", after.lower())[:1]]):  # the nearest, the one before it, the next
+        if w:
+            near[i * NEIGHBOURS + _bucket(w)] = 1.0
+    marks = (words[0] in BEFORE, bool(re.search(r"[=:]\s*[\"']?$", before)), before[-1:] in ("/", ".", "\\", "@"), after[:1] in ("/", "\\", "@"), "://" in before[-24:], bool(re.match(r"\.[A-Za-z]{2,4}\b", after)))
+    return [*shape(text[start:end], log_p, dictionary), *map(float, marks), *near]
 
 
 def spans(text: str, judged: tuple[int, ...] = ()) -> list[tuple[int, int]]:
     """Start and end of every candidate, one for each start.
 
-    Candidates are the runs of 12 or more of ``A-Z a-z 0-9 + / _ -`` that are ``worth_a_look``, whatever
-    is assigned to a word of ``BEFORE`` (any length, any characters), every match of ``FORMATS``, and
+    Candidates are all runs of 12 or more of ``A-Z a-z 0-9 + / _ -``, whatever is assigned to a word of
+    ``BEFORE`` (any length, any characters), every match of ``FORMATS`` and every signed token, and
     what stands up to the next blank at a ``judged`` start. Of two with one start, a known format goes
     before the longer.
     """
-    found = [m.span() for m in CANDIDATE.finditer(text) if worth_a_look(m[0])] + [m.span() for m in FORMATS.finditer(text)]
+    found = [m.span() for pattern in (CANDIDATE, FORMATS, SIGNED) for m in pattern.finditer(text)]
     for m in ASSIGNED.finditer(text):
         start = m.start(m.lastindex)
         found.append((start, start + len(m[m.lastindex].rstrip(",;") or m[m.lastindex])))
@@ -136,55 +141,73 @@ def _find(shared):
             judged = pdf["judged"] if "judged" in pdf else [None] * len(pdf)
             for doc, text, starts in zip(pdf["doc_id"], pdf["text"], judged, strict=True):
                 for start, end in spans(text or "", () if starts is None else tuple(starts)):
-                    raw, label = describe(text, start, end, log_p, dictionary)
                     digest = hashlib.sha256(text[start:end].encode()).hexdigest()
-                    out.append((None if pd.isna(doc) else int(doc), start, end, end - start, digest, label, raw))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "length", "finding_sha256", "weak_label", "raw"]).astype({"doc_id": "Int64"})
+                    out.append((None if pd.isna(doc) else int(doc), start, end, end - start, digest, describe(text, start, end, log_p, dictionary)))
+            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "length", "finding_sha256", "raw"]).astype({"doc_id": "Int64"})
 
     return run
 
 
-def candidates(docs: DataFrame, path: str | None = None, labelled: DataFrame | None = None) -> DataFrame:
+def background(docs: DataFrame, path: str | None = None) -> tuple[np.ndarray, frozenset[str]]:
+    """Transitions of the documents' characters, and the dictionary: pieces of the public vocabulary of three letters or more."""
+    return transition_model(docs), frozenset(p.lstrip("▁") for p in load_pieces(path or vocabulary_path()) if len(p.lstrip("▁")) > 2)
+
+
+def candidates(docs: DataFrame, model: tuple[np.ndarray, frozenset[str]], labelled: DataFrame | None = None) -> DataFrame:
     """Every candidate (see ``spans``) of every whole text with its features; the value itself is only given as a digest."""
-    dictionary = frozenset(p.lstrip("▁") for p in load_pieces(path or vocabulary_path()) if len(p.lstrip("▁")) > 2)
-    shared = docs.sparkSession.sparkContext.broadcast((transition_model(docs), dictionary))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select("doc_id", "text")
     if labelled is not None:
         rows = rows.join(labelled.groupBy("doc_id").agg(F.collect_set(F.col("start").cast("int")).alias("judged")), "doc_id", "left")
     return rows.mapInPandas(_find(shared), FINDING)
 
 
-def train_forest(labelled: DataFrame, trees: int = 30, depth: int = 8, seed: int = 3) -> RandomForestClassificationModel:
+def examples(spark: SparkSession, model: tuple[np.ndarray, frozenset[str]], findings: list[tuple[str, int, int, str]]) -> DataFrame:
+    """raw, label and kind of judged findings (see ``judged_findings``), described like any others."""
+    rows = spark.createDataFrame([(i, *f) for i, f in enumerate(findings)], "doc_id long, text string, start int, label int, kind string").repartition(4)
+    judged = rows.select("doc_id", "start", "label", "kind")
+    return candidates(rows, model, judged).join(judged, ["doc_id", "start"]).select("raw", "label", "kind")
+
+
+def train_forest(labelled: DataFrame, trees: int = 40, depth: int = 10, seed: int = 3) -> RandomForestClassificationModel:
     """labelled: raw, label."""
     rows = labelled.select(array_to_vector("raw").alias("features"), F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
+def scored_by(forest: RandomForestClassificationModel, found: DataFrame) -> DataFrame:
+    return forest.transform(found.withColumn("features", array_to_vector("raw"))).withColumn("score", vector_to_array("probability")[1])
+
+
 def scan_secrets(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int = 20000, at_least: float = 0.5, path: str | None = None) -> DataFrame:
     """One row per candidate: doc_id, start, end, length, finding_sha256, score, is_secret.
 
-    ``labelled`` (doc_id, start, label) holds findings that people have judged; without it, findings
-    are labelled by published key formats and by words such as ``password`` before an assignment.
-    The forest is trained on about ``max_findings`` labelled findings at most, drawn by a hash, and
-    sees length, character transitions, entropy, dictionary coverage, path marks and hashed
-    neighbouring words, never the label's rule. All candidates of all texts are scored; ``spans`` says what is one.
-
-    Null and empty texts have no candidates. If all labels agree, every score is that label.
-    Repeated rows are scanned each; an empty table gives an empty result.
+    ``labelled`` (doc_id, start, label) holds findings in docs that people have judged; without it the
+    judged findings of ``secret_examples`` are learned from, which follow published formats and usual
+    near misses and owe nothing to docs. The forest is trained on about ``max_findings`` labelled
+    findings at most, drawn by a hash, and sees length, character transitions (counted over all
+    docs), entropy, dictionary coverage, path marks and hashed neighbouring words, not the formats.
+    All candidates of all whole texts are scored; ``spans`` says what is one.
+
+    Null and empty texts have no candidates; a text's candidates are held in memory together. If all
+    labels agree, every score is that label; without any it is 0. Of several labels of one finding the
+    larger counts. Repeated rows are scanned each; an empty table gives an empty result. Only doc_id and text are
+    read of docs, so other columns can't clash.
     """
-    found = materialize(candidates(docs, path, labelled), "secret-findings")
+    model = background(docs, path)
+    found = materialize(candidates(docs, model, labelled), "secret-findings")
     if labelled is None:
-        known = found.withColumn("label", F.col("weak_label"))
+        known = examples(docs.sparkSession, model, judged_findings())
     else:
-        known = found.join(labelled.select("doc_id", "start", "label").dropDuplicates(["doc_id", "start"]), ["doc_id", "start"])
+        known = found.join(labelled.groupBy("doc_id", "start").agg(F.max("label").alias("label")), ["doc_id", "start"])
+    known = materialize(known.select("raw", "label"), "secret-known")
     totals = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
     if totals["p"] in (0, totals["n"]):
         scored = found.withColumn("score", F.lit(float(totals["p"] > 0)))
     else:
-        u = F.shiftrightunsigned(F.xxhash64(F.lit(3), "doc_id", "start"), 11) / float(1 << 53)
-        sample = materialize(known.where(u < max_findings / totals["n"]).select("raw", "label"), "secret-sample")
-        forest = train_forest(sample)
-        scored = forest.transform(found.withColumn("features", array_to_vector("raw"))).withColumn("score", vector_to_array("probability")[1])
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(3), "raw"), 11) / float(1 << 53)
+        forest = train_forest(known.where(u < max_findings / totals["n"]))
+        scored = scored_by(forest, found)
     return scored.select("doc_id", "start", "end", "length", "finding_sha256", "score", (F.col("score") >= at_least).alias("is_secret"))
 
 
