@@ -27,14 +27,15 @@ def term_counts(text: str | None) -> Counter:
 class BlockMaxIndex:
     """Unit vectors of labelled examples over all their terms, in blocks; each term knows its largest weight in each block.
 
+    ``examples``: doc_id, label, numbers of terms in the order of sorted(weights) and how often each is there.
     Terms that one in ``dense`` examples holds have a row of weights, the others lists of postings by block.
     """
 
-    def __init__(self, weights: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], block: int = 32, dense: int = 16):
+    def __init__(self, weights: dict[str, float], examples: list[tuple[int, int, np.ndarray, np.ndarray]], block: int = 32, dense: int = 16):
         self.vocabulary = frozenset(weights)
         self.terms = {t: i for i, t in enumerate(sorted(weights))}
         self.weights = np.array([weights[t] for t in sorted(weights)])
-        vectors = [(doc, label, *self.vector(counts)) for doc, label, counts in examples]
+        vectors = [(doc, label, *self.weighed(at, n)) for doc, label, at, n in examples]
         # alike examples share blocks, which keeps the block maxima tight
         vectors = sorted((v for v in vectors if len(v[2])), key=lambda v: (int(v[2][v[3].argmax()]), v[1], v[0]))
         self.docs = np.array([v[0] for v in vectors], dtype=np.int64)
@@ -64,9 +65,10 @@ class BlockMaxIndex:
     def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms of a text, of length 1."""
         at = np.array([self.terms.get(t, -1) for t in counts], dtype=np.int64)
-        n = np.array(list(counts.values()), dtype=float)[at >= 0]
-        at = at[at >= 0]
-        raw = (1 + np.log(n)) * self.weights[at]
+        return self.weighed(at[at >= 0], np.array(list(counts.values()))[at >= 0])
+
+    def weighed(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(n.astype(float))) * self.weights[at]
         norm = np.sqrt((raw * raw).sum())
         return (at, raw / norm) if norm else (at[:0], raw[:0])
 
@@ -209,7 +211,9 @@ def fit(docs: DataFrame, labelled: DataFrame, k: int = 15, weight_of_prior: floa
         df[r["term"]] = r["n"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     of_class = class_weights(n, p, np.array([held[t] for t in terms], float), np.array([toxic[t] for t in terms], float))
-    model = {"weights": dict(zip(terms, (idf * of_class).tolist())), "examples": examples, "prior": p / n}
+    number = {t: i for i, t in enumerate(terms)}
+    packed = [(doc, label, np.array([number[t] for t in counts], np.int32), np.array(list(counts.values()), np.int32)) for doc, label, counts in examples]
+    model = {"weights": dict(zip(terms, (idf * of_class).tolist())), "examples": packed, "prior": p / n}
     shared, key = context.broadcast(model), uuid.uuid4().hex
 
     def from_others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +251,7 @@ def scorer(spark: SparkSession, model: dict, k: int = 15, weight_of_prior: float
         for text in texts:
             key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
             if key not in seen:
-                if len(seen) > 50_000:
+                if len(seen) >= 5_000:
                     seen.clear()
                 raw, near = vote(index, term_counts(text), shared.value["prior"], k, weight_of_prior)
                 seen[key] = (1 / (1 + math.exp(-slope * raw - shift)), near)

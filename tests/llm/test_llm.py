@@ -187,7 +187,9 @@ def test_block_max_index_is_exact():
     terms = [f"t{i}" for i in range(60)]
     weights = {t: rng.uniform(1, 5) for t in terms}
     examples = [(i, rng.randrange(2), {t: rng.randint(1, 4) for t in [*rng.sample(terms, rng.randint(1, 6)), *rng.sample(terms[:4], 2)]}) for i in range(900)]
-    index = toxicity.BlockMaxIndex(weights, examples, block=8)
+    number = {t: i for i, t in enumerate(sorted(weights))}
+    packed = [(d, y, np.array([number[t] for t in c]), np.array(list(c.values()))) for d, y, c in examples]
+    index = toxicity.BlockMaxIndex(weights, packed, block=8)
     assert 0 < len(index.rows) < len(terms)  # both kinds of lists
     vectors = {d: dict(zip(*(v.tolist() for v in index.vector(c)))) for d, _, c in examples}
     for other in [None] * 40 + list(range(20)):
