@@ -29,9 +29,12 @@ def demand_vs_capacity(capacity: DataFrame, parity: bool = False) -> DataFrame:
     keys = ["gcm_pk", "retest_type"] if not parity else ["site_code", "product_number", "test_type", "equipment_id", "month_key", "snapshot_id", "retest_type"]
     normal, most = capacity.where("capacity_mode = 'NORMAL'"), capacity.where("capacity_mode = 'MAXIMUM'")
     extra = most.select(*keys, F.col("capacity_qty").alias("max_capacity_qty"), F.col("gap_qty").alias("max_gap_qty"))
-    out = normal.join(extra, keys, "left")
-    flexible = F.try_divide(F.col("max_capacity_qty") - F.col("capacity_qty"), F.col("capacity_qty"))
-    return out.withColumn("flexibility_pct", flexible)
+    return flexible(normal.join(extra, keys, "left"))
+
+
+def flexible(sides: DataFrame) -> DataFrame:
+    """Rows that hold both modes, with the room between them."""
+    return sides.withColumn("flexibility_pct", F.try_divide(F.col("max_capacity_qty") - F.col("capacity_qty"), F.col("capacity_qty")))
 
 
 def bottlenecks(capacity: DataFrame) -> DataFrame:

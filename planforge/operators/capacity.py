@@ -84,6 +84,18 @@ def capacity_modes(base: DataFrame) -> DataFrame:
     return out.withColumn("cap_pk", md5_strict("gcm_pk", "capacity_mode", "retest_type"))
 
 
+def normal_and_maximum(base: DataFrame) -> DataFrame:
+    """Each planning row under both retest types in the normal mode, with capacity and gap of the maximum mode beside it: no join."""
+    shifts = {m: {b: F.col(f"{a}_{s}").cast("double") for a, b in (("working_days", "working_days"), ("shifts_per_day", "shifts"), ("hours_per_shift", "hours"))} for m, s in MODES}
+    out = base.withColumn("retest_type", F.explode(F.array(*map(F.lit, RETESTS))))
+    r, x = retest_factors(F.col("retest_type"))
+    out = out.withColumns({"retest_r": r, "retest_x": x})
+    given = out.columns
+    most = with_steps(out.withColumns(shifts["MAXIMUM"])).select(*given, F.col("capacity_qty").alias("max_capacity_qty"), F.col("gap_qty").alias("max_gap_qty"))
+    normal = with_steps(most.withColumns(shifts["NORMAL"])).withColumn("capacity_mode", F.lit("NORMAL"))
+    return normal.withColumn("cap_pk", md5_strict("gcm_pk", "capacity_mode", "retest_type"))
+
+
 def with_predicted_yield(base: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
     """Capacity with predicted yields where there are any; predictions are brought to one row per key first."""
     one = predictions.groupBy(*keys).agg(F.avg("predicted_yield").alias("predicted_yield"))

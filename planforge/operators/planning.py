@@ -33,16 +33,17 @@ def all_demand(demand: DataFrame, hierarchy: DataFrame, products: DataFrame) ->
 
 
 def planning_base(
-    demand: DataFrame, test_time: DataFrame, target_yield: DataFrame, inventory: DataFrame, site_params: DataFrame, sites: DataFrame, test_types: DataFrame, cutoff: int
+    demand: DataFrame, test_time: DataFrame, target_yield: DataFrame | None, inventory: DataFrame, site_params: DataFrame, sites: DataFrame, test_types: DataFrame, cutoff: int
 ) -> DataFrame:
     """One row for each demand row, test type and piece of equipment; rows without demand or usable time are left out.
 
-    The filters stand before the joins. Test times are inner-joined, the rest left. Parameters per
+    Without ``target_yield`` the test times hold the yields. The filters stand before the joins. Test times are inner-joined, the rest left. Parameters per
     site and month and the two reference tables are small, and are left to the optimiser to broadcast.
     """
     usable = test_time.where("is_valid and target_test_time_sec > 0").drop("is_valid")
     base = demand.where("effective_demand_qty > 0").join(usable, ["site_code", "product_number", "month_key", "snapshot_id"])
-    base = base.join(target_yield, ["site_code", "product_number", "test_type", "month_key", "snapshot_id"], "left")
+    if target_yield is not None:
+        base = base.join(target_yield, ["site_code", "product_number", "test_type", "month_key", "snapshot_id"], "left")
     base = base.join(inventory, ["site_code", "test_type", "month_key"], "left")
     base = base.join(site_params, ["site_code", "month_key"], "left").join(sites, "site_code", "left").join(test_types, "test_type", "left")
     key = [F.col("site_code"), F.col("product_number"), F.coalesce(F.col("parent_product_number").cast("string"), F.lit("-")), F.col("test_type"), F.coalesce(F.col("equipment_id").cast("string"), F.lit("-")), F.col("month_key"), F.col("snapshot_id")]

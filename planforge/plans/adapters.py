@@ -43,12 +43,20 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact with the month of its order, NULL without one."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), month_key("o_orderdate").alias("order_month"))
+    return fact(spark, sf_dir).join(orders, "order_key", "left")
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots_of(lines(spark, sf_dir))
+
+
+def snapshots_of(lines: DataFrame) -> DataFrame:
     """The lines twice: planned by the month of order (S1) and of shipment (S2)."""
-    f = fact(spark, sf_dir)
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_key"), month_key("o_orderdate").alias("order_month"))
     both = F.array(F.struct(F.lit("S1").alias("snapshot_id"), F.col("order_month").alias("month")), F.struct(F.lit("S2").alias("snapshot_id"), F.col("month_key").alias("month")))
-    out = f.join(orders, "order_key").withColumn("s", F.explode(both))
+    out = lines.where("order_month is not null").withColumn("s", F.explode(both))
     return out.withColumn("snapshot_id", F.col("s.snapshot_id")).withColumn("month_key", F.col("s.month")).drop("s", "order_month")
 
 
@@ -76,6 +84,15 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explode_children(products(spark, sf_dir), "product_number")
 
 
+def cells(lines: DataFrame) -> DataFrame:
+    """Quantity, times, yield and validity per site, product, test type, month and snapshot, in one aggregate."""
+    out = snapshots_of(lines).groupBy("site_code", "product_number", "test_type", "month_key", "snapshot_id")
+    return out.agg(
+        F.sum("total_qty").alias("qty"), F.avg("test_time_sec").alias("target_test_time_sec"), F.avg("handling_time_sec").alias("handling_time_sec"),
+        F.min("factory_code").alias("factory_code"), (F.count_if(F.col("order_key") % 101 == 0) == 0).alias("is_valid"), F.avg("yield_avg").alias("target_yield"),
+    )
+
+
 def test_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = snapshots(spark, sf_dir).groupBy("site_code", "product_number", "test_type", "month_key", "snapshot_id")
     return out.agg(F.avg("test_time_sec").alias("target_test_time_sec"), F.avg("handling_time_sec").alias("handling_time_sec"), F.min("factory_code").alias("factory_code"), (F.count_if(F.col("order_key") % 101 == 0) == 0).alias("is_valid"))
@@ -86,9 +103,13 @@ def target_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory_of(fact(spark, sf_dir))
+
+
+def inventory_of(fact: DataFrame) -> DataFrame:
     """Equipment present at a site in a month: its suppliers with shipments, each of which serves one test type."""
     own = F.element_at(F.array(*[F.lit(t) for t in TEST_TYPES]), (F.col("factory_code") % 6 + 1).cast("int"))
-    out = fact(spark, sf_dir).where(F.col("test_type") == own).groupBy("site_code", "test_type", "month_key", F.col("factory_code").alias("equipment_id"))
+    out = fact.where(F.col("test_type") == own).groupBy("site_code", "test_type", "month_key", F.col("factory_code").alias("equipment_id"))
     kind = F.when(F.col("equipment_id") % 2 == 0, "SYSTEM").otherwise("FIXTURE")
     out = out.agg(F.max("equip_qty").alias("equip_qty_available"), F.avg("utilization_rate").alias("utilization_rate"))
     e = F.col("equipment_id")
@@ -96,8 +117,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_params_of(fact(spark, sf_dir))
+
+
+def site_params_of(fact: DataFrame) -> DataFrame:
     """Shifts, hours and allowances of a site and month."""
-    months = fact(spark, sf_dir).select("site_code", "region_no", "month_key").distinct()
+    months = fact.select("site_code", "region_no", "month_key").distinct()
     r, m = F.col("region_no"), F.col("month_key") % 3
     return months.select(
         "site_code", "month_key", (20 + r % 3 + m).alias("working_days_normal"), (26 + r % 3 + m).alias("working_days_max"), F.lit(2).alias("shifts_per_day_normal"), F.lit(3).alias("shifts_per_day_max"),

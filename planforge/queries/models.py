@@ -220,7 +220,7 @@ def f12_triangular_fit(spark, sf):
     return out.select("site_code", r("low").alias("low"), "mode", r("high").alias("high"))
 
 
-DRAWS = 500
+DRAWS = 10_000
 
 
 def _lcg(stream: int) -> str:
@@ -230,24 +230,38 @@ def _lcg(stream: int) -> str:
     return f"((CAST({x} AS DOUBLE) + 0.5::DOUBLE) / 2147483647.0::DOUBLE)"
 
 
-_COMBOS = "SELECT t.site_code, t.test_type, n.n_nationkey * 10 + t.tt AS combo_no, mean, coalesce(std, 0.0) AS std, 30.0::DOUBLE AS unit_supply, 0.3::DOUBLE AS low, 0.6::DOUBLE AS mode, 0.9::DOUBLE AS high FROM (SELECT site_code, test_type, ascii(test_type) % 7 + CASE WHEN test_type LIKE '%F' THEN 0 ELSE 3 END AS tt, avg(demand_qty) AS mean, stddev_samp(demand_qty) AS std FROM monthly GROUP BY 1, 2) t JOIN nation n ON n.n_name = t.site_code"
-_NEEDS = f"""SELECT *, CAST(ceil(demand / (unit_supply * least(1.0::DOUBLE, greatest(0.05::DOUBLE, CASE WHEN u < (mode - low) / (high - low) THEN low + sqrt(u * (high - low) * (mode - low)) ELSE high - sqrt((1 - u) * (high - low) * (high - mode)) END)))) AS BIGINT) AS need FROM (
+_COMBOS = """SELECT t.site_code, t.test_type, n.n_nationkey * 10 + t.tt AS combo_no, mean, coalesce(std, 0.0) AS std, 30.0::DOUBLE AS unit_supply, f.low, g.mode, f.high FROM (
+    SELECT site_code, test_type, ascii(test_type) % 7 + CASE WHEN test_type LIKE '%F' THEN 0 ELSE 3 END AS tt, avg(demand_qty) AS mean, stddev_samp(demand_qty) AS std FROM monthly GROUP BY 1, 2) t JOIN nation n ON n.n_name = t.site_code
+    JOIN (SELECT site_code, round(low + 1e-9, 6) AS low, round(high + 1e-9, 6) AS high FROM tri_ends) f ON f.site_code = t.site_code JOIN tri_mode g ON g.site_code = t.site_code"""
+_NEEDS = f"""SELECT *, CAST(ceil(demand / (unit_supply * least(1.0::DOUBLE, greatest(0.05::DOUBLE, CASE WHEN high <= low THEN low WHEN u < (mode - low) / (high - low) THEN low + sqrt(u * (high - low) * (mode - low)) ELSE high - sqrt((1 - u) * (high - low) * (high - mode)) END)))) AS BIGINT) AS need FROM (
     SELECT *, {_lcg(5)} AS u, greatest(0, mean + std * sqrt(-2 * ln({_lcg(1)})) * cos(2 * 3.141592653589793::DOUBLE * {_lcg(2)})) AS demand FROM combos CROSS JOIN range(1, {DRAWS + 1}) d(draw))"""
 _SIZES = f"SELECT site_code, test_type, {R('quantile_cont(need, 0.5)', 4)} AS p50_need, {R('quantile_cont(need, 0.8)', 4)} AS p80_need, {R('quantile_cont(need, 0.95)', 4)} AS p95_need, {R('avg(need)', 4)} AS mean_need, count(*) AS draws FROM needs GROUP BY 1, 2"
 _CASES = """SELECT z.site_code, z.test_type, scenario, threshold, sum(CASE WHEN need <= threshold THEN 1 ELSE 0 END) / count(*) AS probability_sufficient FROM (SELECT site_code, test_type, unnest(['CONSERVATIVE', 'BALANCED', 'LEAN']) AS scenario, unnest([p95_need, p80_need, p50_need]) AS threshold FROM sizes) z
     JOIN needs USING (site_code, test_type) GROUP BY 1, 2, 3, 4"""
-_MC = {"combos": _COMBOS, "needs": _NEEDS, "sizes": _SIZES, "cases": _CASES}
+_MC = _TRI_VIEWS | {"combos": _COMBOS, "needs": _NEEDS, "sizes": _SIZES, "cases": _CASES}
 
 
 def _combos(spark, sf):
+    """Demand of a site and test type with its spread, and the site's fitted availability; what a unit supplies is a parameter."""
     t = A.monthly(spark, sf).groupBy("site_code", "test_type").agg(F.avg("demand_qty").alias("mean"), F.coalesce(F.stddev_samp("demand_qty"), F.lit(0.0)).alias("std"))
     code = F.ascii("test_type") % 7 + F.when(F.col("test_type").endswith("F"), 0).otherwise(3)
     t = t.join(F.broadcast(A.sites(spark, sf).select("site_code", "nation_key")), "site_code").withColumn("combo_no", (F.col("nation_key") * 10 + code).cast("bigint")).drop("nation_key")
-    return t.withColumns({k: F.lit(v) for k, v in (("unit_supply", 30.0), ("low", 0.3), ("mode", 0.6), ("high", 0.9))})
+    fits = RK.triangular_fit(_oee_site(spark, sf), ["site_code"], "oee").select("site_code", r("low").alias("low"), "mode", r("high").alias("high"))
+    return t.join(fits, "site_code").withColumn("unit_supply", F.lit(30.0))
 
 
-def _sizes(spark, sf):
-    return rounded(RK.size_summary(RK.monte_carlo_need(_combos(spark, sf), DRAWS), ["site_code", "test_type"]), 4)
+def _counts(spark, sf):
+    """The simulation, run once: draws by need."""
+    return io.overwrite(RK.need_counts(RK.monte_carlo_need(_combos(spark, sf), DRAWS), ["site_code", "test_type"]), io.scratch(spark, "needs"))
+
+
+def _sizes(spark, sf, counts=None):
+    return rounded(RK.size_summary(counts or _counts(spark, sf), ["site_code", "test_type"]), 4)
+
+
+def _cases(spark, sf):
+    counts = _counts(spark, sf)
+    return RK.scenarios(counts, _sizes(spark, sf, counts), ["site_code", "test_type"])
 
 
 @query("SELECT site_code, test_type, CAST(draw AS INTEGER) AS draw, need FROM needs", _MC)
@@ -262,8 +276,7 @@ def l19_size_summary(spark, sf):
 
 @query(f"SELECT site_code, test_type, scenario, threshold, {R('probability_sufficient', 5)} AS probability_sufficient FROM cases", _MC)
 def l20_scenarios(spark, sf):
-    needs = RK.monte_carlo_need(_combos(spark, sf), DRAWS)
-    return RK.scenarios(needs, _sizes(spark, sf), ["site_code", "test_type"]).withColumn("probability_sufficient", r("probability_sufficient", 5))
+    return _cases(spark, sf).withColumn("probability_sufficient", r("probability_sufficient", 5))
 
 
 @query()
@@ -297,7 +310,7 @@ def m2_bottleneck_analysis(spark, sf):
 
 @query(f"SELECT cap_pk, month_key, {R('capacity_qty', 3)} AS capacity_qty, effective_demand_qty FROM cap WHERE capacity_mode = 'NORMAL' AND site_code = 'NATION_2' ORDER BY month_key, cap_pk LIMIT 300")
 def m3_demand_vs_supply(spark, sf):
-    out = T.demand_vs_supply(N.demand_vs_capacity(chains.capacity(spark, sf)), site="nation_2", limit=300)
+    out = T.demand_vs_supply(chains.demand_vs_capacity(spark, sf), site="nation_2", limit=300)
     return out.select("cap_pk", "month_key", r("capacity_qty", 3).alias("capacity_qty"), "effective_demand_qty")
 
 
@@ -332,12 +345,23 @@ def m6_yield_drivers(spark, sf):
     return rounded(T.yield_drivers(rows, f, "pk", site="nation_3"), 5)
 
 
-@query("SELECT gcm_pk, month_key, equip_qty_available FROM base WHERE site_code = 'NATION_5' AND test_type = 'NO' ORDER BY month_key, gcm_pk LIMIT 400")
+_ADJUSTED = """SELECT *, unit * equip_qty_available AS capacity FROM (SELECT *, coalesce(coalesce(nullif(hours_per_shift_normal, 0), 8.0::DOUBLE) * 3600 / nullif(t * (1 + (1 - y) * 1.5) / least(1.0::DOUBLE, greatest(0.01::DOUBLE, utilization_rate)), 0), 0)
+    * (1 - coalesce(allowance_pct, 0.1::DOUBLE)) * coalesce(nullif(productivity_pct, 0), 0.95::DOUBLE) * coalesce(nullif(working_days_normal, 0), 22) * coalesce(nullif(shifts_per_day_normal, 0), 2) AS unit FROM (
+    SELECT b.*, p.predicted_yield, handling_time_sec + target_test_time_sec AS t, least(0.99::DOUBLE, greatest(0.5::DOUBLE, coalesce(p.predicted_yield, b.target_yield))) AS y FROM base b LEFT JOIN pred p
+    ON p.site_code = b.site_code AND p.product_family = b.product_family AND p.test_type = b.test_type AND p.month_key = b.month_key WHERE b.site_code = 'NATION_5' AND b.test_type = 'NO'))"""
+
+
+@query(
+    f"""SELECT gcm_pk, month_key, equip_qty_available, {R('capacity', 3)} AS capacity_qty, {R('coalesce(least(5.0::DOUBLE, greatest(0.0::DOUBLE, effective_demand_qty / nullif(capacity, 0))), 5.0)', 5)} AS ml_utilization_ratio,
+    {R('(capacity - effective_demand_qty) / effective_demand_qty * 100', 3)} AS ml_gap_pct, CASE WHEN predicted_yield IS NULL THEN 'TARGET' ELSE 'PREDICTED' END AS yield_source FROM adjusted ORDER BY month_key, gcm_pk LIMIT 400""",
+    {"pred": _PRED, "adjusted": _ADJUSTED},
+)
 def m7_adjusted_capacity(spark, sf):
     from planforge.operators.capacity import with_predicted_yield
 
     adjusted = with_predicted_yield(chains.base(spark, sf), _pred(spark, sf), ["site_code", "product_family", "test_type", "month_key"])
-    return T.adjusted_capacity(adjusted, site="nation_5", test_type="no", limit=400).select("gcm_pk", "month_key", "equip_qty_available")
+    out = T.adjusted_capacity(adjusted, site="nation_5", test_type="no", limit=400)
+    return out.select("gcm_pk", "month_key", "equip_qty_available", r("capacity_qty", 3).alias("capacity_qty"), r("ml_utilization_ratio", 5).alias("ml_utilization_ratio"), r("ml_gap_pct", 3).alias("ml_gap_pct"), "yield_source")
 
 
 _RISK = "SELECT site_code, test_type, month_key, round(1 - oee, 6) AS probability, CASE WHEN round(1 - oee, 6) <= .2 THEN 'LOW' WHEN round(1 - oee, 6) <= .4 THEN 'MEDIUM' WHEN round(1 - oee, 6) <= .7 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_tier FROM oee_site"
@@ -385,8 +409,7 @@ def f21_capex_total(spark, sf):
 
 @query(f"SELECT site_code, test_type, scenario, threshold, {R('probability_sufficient', 5)} AS probability_sufficient FROM cases ORDER BY site_code, test_type, CASE scenario WHEN 'CONSERVATIVE' THEN 1 WHEN 'BALANCED' THEN 2 ELSE 3 END LIMIT 90", _MC)
 def m13_capex_scenarios(spark, sf):
-    needs = RK.monte_carlo_need(_combos(spark, sf), DRAWS)
-    out = T.capex_scenarios(RK.scenarios(needs, _sizes(spark, sf), ["site_code", "test_type"]), limit=90)
+    out = T.capex_scenarios(_cases(spark, sf), limit=90)
     return out.withColumn("probability_sufficient", r("probability_sufficient", 5))
 
 

@@ -49,7 +49,7 @@ def e3_planning_base(spark, sf):
     FROM cap n LEFT JOIN cap m ON n.gcm_pk = m.gcm_pk AND n.retest_type = m.retest_type AND m.capacity_mode = 'MAXIMUM' WHERE n.capacity_mode = 'NORMAL'"""
 )
 def e8_demand_vs_capacity(spark, sf):
-    out = N.demand_vs_capacity(chains.capacity(spark, sf))
+    out = chains.demand_vs_capacity(spark, sf)
     return out.select("cap_pk", r("max_capacity_qty", 4).alias("max_capacity_qty"), r("flexibility_pct").alias("flexibility_pct"))
 
 
@@ -122,7 +122,7 @@ _WIDE = f"""SELECT n.cap_pk, n.site_code, n.region, {R('n.step1_avg_test_time',
 
 @query(_WIDE)
 def e16_wide_capacity_summary(spark, sf):
-    out = N.demand_vs_capacity(chains.capacity(spark, sf))
+    out = chains.demand_vs_capacity(spark, sf)
     return rounded(out.select("cap_pk", "site_code", "region", "step1_avg_test_time", "step2_total_avg_test_time", "step3_productivity_adjusted", "step4_monthly_shifts", "capacity_qty", "max_capacity_qty", "investment_need_units", "bottleneck_severity"), 4)
 
 

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or the warehouse where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_planforge_scratch"
+    """A new path in the folder that all executors share: spark.checkpoint.dir; where it is unset, in the warehouse, on a local master only."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    at = at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_planforge_scratch"
     path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -20,8 +23,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def read_splits(spark: SparkSession, path: str, split_mb: int) -> DataFrame:
-    """A scan in input splits of a size of its own, which takes the place of LIMIT/OFFSET chunks."""
-    return spark.read.option("maxPartitionBytes", f"{split_mb}m").parquet(path)
+    """A scan in input splits of a size of its own, which takes the place of LIMIT/OFFSET chunks.
+
+    The size is a setting of a session, not of a reader: the frame belongs to a session beside the given one.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", f"{split_mb}m")
+    own.conf.set("spark.sql.files.openCostInBytes", "0")
+    return own.read.parquet(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, partitions: int) -> DataFrame:

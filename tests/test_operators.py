@@ -163,3 +163,14 @@ def test_attributions_sum_to_prediction(spark):
     total = {r["id"]: r["s"] for r in ml.attributions(df, model, "id", ["a", "b"], 2).groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
     for r in model.transform(df).collect():
         assert (base + total[r["id"]]) / scale == pytest.approx(r["forest"], abs=1e-6)
+
+
+def test_split_size_decides_the_partitions(spark, sf_dir):
+    from planforge.sources import io
+
+    import os
+
+    path = f"{sf_dir.replace('sf0.001', 'sf0.1')}/lineitem.parquet"
+    mb = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path)) >> 20 if os.path.isdir(path) else os.path.getsize(path) >> 20
+    few, many = (io.read_splits(spark, path, split_mb=m).rdd.getNumPartitions() for m in (512, 1))
+    assert few < many and many >= mb - 1
