@@ -17,16 +17,16 @@ from planforge.llm.common import crc_fold, materialize, read
 #: A word is a maximal run of letters of the lower-cased text.
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Pieces of more characters than this are not used.
-LONGEST = 10
 
 
 def vocabulary_path() -> str:
     """The public piece vocabulary: a setting of the environment, else the installed files."""
     if at := os.environ.get("PLANFORGE_VOCABULARY"):
         return at
-    import public_tokenizers
-
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        raise FileNotFoundError("set PLANFORGE_VOCABULARY to the path of a sentencepiece model, such as piece_bpe_32k.model") from None
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -36,7 +36,7 @@ def load_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if len(p) <= LONGEST and p == p.lower() and LETTERS.fullmatch(p.removeprefix(START))})
+    return sorted({p for p in pieces if p == p.lower() and LETTERS.fullmatch(p.removeprefix(START))})
 
 
 class Lattice:
@@ -45,31 +45,36 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.index = {p: i for i, p in enumerate(pieces)}
         self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
+        self.begun = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
 
     def edges(self, words: list[str]) -> np.ndarray:
-        """For marked words of one length: [word, end, size - 1] = piece that ends there, or ``none``."""
+        """For marked words of one length: [word, end, size - 1] = piece that ends there, or ``none``; up to the longest size there is."""
         n = len(words[0])
-        out = np.full((len(words), n + 1, LONGEST), self.none, dtype=np.int32)
-        get = self.index.get
-        for w, word in enumerate(words):
-            row = out[w]
-            for end in range(1, n + 1):
-                for size in range(1, min(LONGEST, end) + 1):
-                    if (p := get(word[end - size : end])) is not None:
-                        row[end, size - 1] = p
+        out = np.full((len(words), n + 1, min(self.longest, n)), self.none, dtype=np.int32)
+        get, begun = self.index.get, self.begun
+        for row, word in zip(out, words):
+            for start in range(n):
+                for end in range(start + 1, n + 1):
+                    part = word[start:end]
+                    if part not in begun:
+                        break
+                    if (p := get(part)) is not None:
+                        row[end, end - start - 1] = p
         single = out[:, 1:, 0]
         single[single == self.none] = self.unknown
-        return out
+        used = np.flatnonzero((out != self.none).any(axis=(0, 1)))
+        return out[:, :, : used[-1] + 1]
 
     def forward(self, edges: np.ndarray, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """prob: [piece, language]. Scaled forward sums [word, end, language] and the log of each step's scale."""
-        words, ends, _ = edges.shape
+        words, ends, longest = edges.shape
         alpha = np.zeros((words, ends, prob.shape[1]))
         logs = np.zeros((words, ends, prob.shape[1]))
         alpha[:, 0] = 1
         for end in range(1, ends):
             total, back = 0.0, 1.0
-            for size in range(1, min(LONGEST, end) + 1):
+            for size in range(1, min(longest, end) + 1):
                 total = total + alpha[:, end - size] * back * prob[edges[:, end, size - 1]]
                 back = back * np.exp(-logs[:, end - size])  # brings earlier sums to the scale of this step
             logs[:, end] = np.log(total)
@@ -110,7 +115,7 @@ def expected_counts(lattice: Lattice, words: list[str], weights: np.ndarray, pro
         behind[:, -1] = 0
         w = weights[at]
         for end in range(n - 1, 0, -1):
-            for size in range(1, min(LONGEST, end) + 1):
+            for size in range(1, min(edges.shape[2], end) + 1):
                 piece = edges[:, end, size - 1]
                 with np.errstate(divide="ignore"):
                     step = np.log(prob[piece]) + behind[:, end]
@@ -145,7 +150,7 @@ def train(labelled: DataFrame, docs_per_lang: int = 400, rounds: int = 4, path:
     lattice = Lattice(pieces)
     have = labelled.groupBy("lang").agg(F.count("*").alias("have"))
     u = F.shiftrightunsigned(F.xxhash64(F.lit(2), "key"), 11) / float(1 << 53)
-    sample = labelled.join(F.broadcast(have), "lang").where(u < F.lit(float(docs_per_lang)) / F.col("have")).select("lang", "text")
+    sample = labelled.join(have, "lang").where(u < F.lit(float(docs_per_lang)) / F.col("have")).select("lang", "text")
     counted = sample.mapInPandas(lambda it: (word_counts(p) for p in it), "lang string, word string, n long")
     counted = materialize(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     langs = sorted(r["lang"] for r in have.select("lang").collect())
@@ -233,7 +238,8 @@ def identify_languages(docs: DataFrame, held_out: Column, **options) -> DataFram
     The score is the posterior of the best language under equal priors. Null texts, and texts
     without a letter, are ``und`` with score 0, as are all if nothing could be learned; ties go to
     the first language by name. Repeated rows are answered alike; an empty table gives an empty
-    result.
+    result. Only doc_id, text and lang are read, so other columns can't clash. The time of a word
+    grows with its length, as does the memory (a number per letter and language).
     """
     labelled = docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.col("doc_id").alias("key"))
     of = predict(docs.sparkSession, train(labelled, **options))

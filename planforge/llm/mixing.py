@@ -87,7 +87,7 @@ def copies_per_document(rows: DataFrame, seed: int = 8, group_rows: int = 2048,
     most = targets.agg(F.max("n_rows").alias("n")).first()["n"] or 0
     units = rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
     same_source = units["source"].eqNullSafe(targets["source"])
-    units = units.join(F.broadcast(targets), same_source, "left").drop(targets["source"])
+    units = units.join(targets, same_source, "left").drop(targets["source"])
     rate = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     buckets = F.ceil(F.col("n_rows") / F.lit(group_rows))
     units = units.select(
@@ -126,12 +126,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
 def repeat_by_copies(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as it was dealt copies, in the columns of docs."""
-    names = docs.columns
-    keyed = docs.withColumn("_mix_size", word_count(F.col("text")))
-    got = mix_sources(docs, **options).select(F.struct("doc_id", "source", "size").alias("_k"), "copies").distinct().where("copies > 0")
-    joined = keyed.join(got, F.struct("doc_id", "source", F.col("_mix_size")).eqNullSafe(F.col("_k")))
-    repeated = joined.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in names])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # names of docs can't clash with those in here
+    keyed = docs.select(row, F.struct(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size")).alias("key"))
+    got = mix_sources(docs, **options).select(F.struct("doc_id", "source", "size").alias("k"), "copies").distinct().where("copies > 0")
+    joined = keyed.join(got, F.col("key").eqNullSafe(F.col("k")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

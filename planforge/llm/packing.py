@@ -58,8 +58,9 @@ def best_fit_pack(
     Sizes are words. A document of n words has n // capacity pieces that fill bins of their own and
     a rest that is packed; no bin holds two documents of a duplicate cluster (``cluster_col``, by
     default equal texts) or more than ``per_source`` of a source. Documents are packed in groups
-    of about ``group_docs`` by a hash of their id, so that a hot source or cluster is spread, a
-    task is bounded and reruns agree; bins don't cross groups.
+    of about ``group_docs`` by a hash of their id, size and cluster, so that a hot source or cluster, or
+    an id that many rows have, is spread, a task is bounded and reruns agree; bins don't cross groups.
+    Only rows equal in all three meet in one group.
 
     Texts without words (null ones too) give one piece of 0 words without a bin. Repeated rows are
     packed each, never into one bin. Null ids, sources and clusters are values like others; an empty
@@ -93,7 +94,7 @@ def best_fit_pack(
         frame = pd.DataFrame(out, columns=["doc_id", "source", "piece", "start_word", "n_words", "bin_id", "bin_start", "bin_words"])
         return frame.astype({"doc_id": "Int64", "bin_start": "Int64", "bin_words": "Int64"})
 
-    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("g").applyInPandas(pack, PACKED)
+    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "cluster"), F.lit(groups))).groupBy("g").applyInPandas(pack, PACKED)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

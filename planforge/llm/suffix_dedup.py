@@ -122,22 +122,22 @@ class Marks:
         self.twice = np.diff(np.append(starts, len(first))) > 1
         if known is not None and len(starts):
             self.twice |= np.logical_or.reduceat(known[self.order], starts)
-        high = (self.first >> np.uint64(32)).astype(np.int64)
-        self.cuts = np.searchsorted(high * buckets >> 32, np.arange(buckets + 1))
+        bucket = (self.first >> np.uint64(32)).astype(np.int64) * buckets >> 32
+        begins = np.flatnonzero(np.diff(bucket, prepend=-1))  # of the buckets that hold any
+        self.spans = {b: slice(lo, hi) for b, lo, hi in zip(bucket[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(bucket)])}
 
     def rows(self, part: int, kind: int) -> list[dict]:
-        spans = [(b, slice(lo, hi)) for b, (lo, hi) in enumerate(zip(self.cuts[:-1], self.cuts[1:])) if hi > lo]
         return [
             {"part": part, "bucket": b, "kind": kind, "first": _planes(self.first[s]), "second": self.second[s].tobytes() if kind else b"", "twice": np.packbits(self.twice[s]).tobytes()}
-            for b, s in spans
+            for b, s in self.spans.items()
         ]
 
     def flagged(self, flags: dict[int, bytes]) -> np.ndarray:
         """For each fingerprint given, in the order given: the bit of its bucket."""
         found = np.zeros(len(self.first), dtype=bool)
         for b, bits in flags.items():
-            lo, hi = self.cuts[b], self.cuts[b + 1]
-            found[lo:hi] = _bits(bits, hi - lo)
+            s = self.spans[b]
+            found[s] = _bits(bits, s.stop - s.start)
         out = np.zeros(len(self.order), dtype=bool)
         out[self.order] = found[self.group]
         return out
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 6 << 20
     cross documents and are judged on the input. n_spans counts maximal removed runs. A task holds a
     part, or the fingerprints of a bucket, which stand for ``bucket_bytes`` of text.
 
-    Documents go by a hash of their id to parts of about ``part_bytes``; the text is shuffled once
+    Documents go by a hash of their id and length to parts of about ``part_bytes``; the text is shuffled once
     and that shuffle serves the three passes over it. A part first drops repeats of its own, so a
     passage that a third of all documents hold reaches a bucket once a part, and buckets are ranges
     of a hash: no task grows with a hot passage. Repeated rows are documents like others, so texts of
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, part_bytes: int = 6 << 20
     """
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts, buckets = max(1, math.ceil(size / part_bytes)), max(1, math.ceil(size / bucket_bytes))
-    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), "doc_id", "text")
+    texts = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(parts)).alias("part"), "doc_id", "text")
     by_part = texts.groupBy("part")
 
     def sample(table: pa.Table) -> pa.Table:

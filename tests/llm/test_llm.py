@@ -348,6 +348,22 @@ def test_packing(spark):
     assert packing.best_fit_pack(table(spark, texts).limit(0)).count() == 0
 
 
+def test_packing_and_mixing_with_null_ids_repeats_and_clashing_columns(spark):
+    rng = random.Random(9)
+    texts = [prose(rng, 5 + i % 7) for i in range(400)] + ["twice"] * 2
+    df = table(spark, texts, ids=[None] * 400 + [7, 7])
+    for name in ("copies", "_mix_size", "_mix_i", "_k", "key", "k", "row", "size", "n", "g", "cluster", "piece"):
+        df = df.withColumn(name, F.lit("own"))
+    rows = packing.best_fit_pack(df, capacity=100, per_source=50, group_docs=100).collect()
+    assert len(rows) == 402 and len({r["bin_id"].split("-")[0] for r in rows}) == 5  # null ids are several groups
+    assert len({r["bin_id"] for r in rows if r["doc_id"] == 7}) == 2  # repeated rows never share a bin
+    mixed = mixing.repeat_by_copies(df)
+    assert mixed.columns == df.columns and mixed.where("copies <> 'own'").count() == 0
+    counts = [r["count"] for r in mixed.where("doc_id = 7").groupBy("doc_id").count().collect()]
+    assert all(c % 2 == 0 for c in counts)  # repeated rows get as many copies each
+    assert mixing.repeat_by_copies(df.limit(0)).count() == 0
+
+
 def test_pack_group_takes_the_tightest_compatible_bin():
     at, _ = packing.pack_group([60, 50, 40, 40], ["a", "b", "a", "b"], [1, 2, 3, 4], 100, 1)
     assert at[2] == at[1] and at[3] == at[0]  # 40 would fit the bin of 60 exactly, but for its source
