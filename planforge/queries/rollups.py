@@ -299,11 +299,11 @@ def k4_capacity_modes(spark, sf):
 _ML = f"""SELECT gcm_pk, {R('s3 * step4 * equip_qty_available', 4)} AS capacity_qty, {R('least(5.0::DOUBLE, coalesce(effective_demand_qty / nullif(s3 * step4 * equip_qty_available, 0), 5.0::DOUBLE))')} AS ml_utilization_ratio, yield_source FROM (
     SELECT *, coalesce(hours_per_shift_normal, 8) * 3600 / ((handling_time_sec + target_test_time_sec) * (1 + (1 - yy) * 2.0 * 0.75) / utilization_rate) * (1 - coalesce(allowance_pct, 0.1)) * coalesce(productivity_pct, 0.95) AS s3, CAST(coalesce(working_days_normal, 22) * coalesce(shifts_per_day_normal, 2) AS DOUBLE) AS step4 FROM (
     SELECT b.*, least(0.99::DOUBLE, greatest(0.5::DOUBLE, coalesce(p.predicted_yield, target_yield))) AS yy, CASE WHEN p.predicted_yield IS NULL THEN 'TARGET' ELSE 'PREDICTED' END AS yield_source
-    FROM base b LEFT JOIN (SELECT site_code, test_type, month_key, avg(yield_avg) AS predicted_yield FROM fact WHERE order_key % 2 = 0 GROUP BY 1, 2, 3) p USING (site_code, test_type, month_key)))"""
+    FROM base b LEFT JOIN (SELECT site_code, test_type, month_key, avg(yield_avg) AS predicted_yield FROM fact GROUP BY 1, 2, 3) p USING (site_code, test_type, month_key)))"""
 
 
 @query(_ML)
 def k11_predicted_yield_capacity(spark, sf):
-    p = A.fact(spark, sf).where("order_key % 2 = 0").groupBy("site_code", "test_type", "month_key").agg(F.avg("yield_avg").alias("predicted_yield"))
+    p = A.fact(spark, sf).groupBy("site_code", "test_type", "month_key").agg(F.avg("yield_avg").alias("predicted_yield"))
     out = K.with_predicted_yield(chains.base(spark, sf), p, ["site_code", "test_type", "month_key"])
     return out.select("gcm_pk", r("capacity_qty", 4).alias("capacity_qty"), r("ml_utilization_ratio").alias("ml_utilization_ratio"), "yield_source")
