@@ -205,9 +205,9 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 2
 
     n = df.count()
     rows = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "tree", key), 11) / float(1 << 53)
-    drawn = drawn.where(u < sample / max(n, 1))
+    u = lambda t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(key)), 11) / float(1 << 53)
+    its = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: u(t) < sample / max(n, 1))
+    drawn = rows.withColumn("tree", F.explode(its))  # a row is copied only for the trees that drew it
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

@@ -11,7 +11,6 @@ from planforge.functions.columns import month_key
 from planforge.operators.reshape import explode_children
 
 CUTOFF = 200012
-MONTHS_1998 = [f"{m}_1998" for m in ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")]
 TEST_TYPES = ("AF", "AO", "NF", "NO", "RF", "RO")
 SERIES = ["site_code", "product_family", "test_type"]
 

@@ -10,23 +10,18 @@ from planforge.operators import analytics as N
 from planforge.operators import forecast as FC
 from planforge.operators import ml
 from planforge.operators import risk as RK
-from planforge.operators import windows as G
+from planforge.operators.capacity import with_predicted_yield
 from planforge.plans import adapters as A
 from planforge.plans import chains, serving
 from planforge.plans import functions as T
+from planforge.plans import scores as SC
 from planforge.plans.adapters import SERIES, table
+from planforge.plans.scores import SITE
 from planforge.queries.base import R, query, r, rounded
 from planforge.queries.rollups import _OEE_SITE, _oee_site
 from planforge.sources import io
 from planforge.streaming.telemetry import deduplicated_stream
 
-SITE = ["site_code", "product_family"]
-
-
-def _site(spark, sf):
-    return A.fact(spark, sf).groupBy(*SITE, "month_key").agg(F.sum("total_qty").alias("demand_qty"))
-
-
 _SITE = {"site_months": "SELECT site_code, product_family, month_key, sum(total_qty) AS demand_qty FROM fact GROUP BY 1, 2, 3"}
 
 # L: forecasts
@@ -63,80 +58,61 @@ _TREND_VIEWS = _SITE | {
 
 @query(f"SELECT site_code, product_family, month_key, {R('trend_forecast', 3)} AS trend_forecast FROM trend", _TREND_VIEWS)
 def l4_seasonal_trend(spark, sf):
-    return rounded(FC.seasonal_trend(_site(spark, sf), SITE, 6), 3)
+    return rounded(FC.seasonal_trend(SC.site_months(spark, sf), SITE, 6), 3)
 
 
 @query("SELECT site_code, product_family, demand_qty, CAST(h AS INTEGER) AS horizon, CAST(strftime(make_date(month_key // 100, month_key % 100, 1) + to_months(CAST(h AS INTEGER)), '%Y%m') AS INTEGER) AS month_key FROM (SELECT * FROM site_months QUALIFY row_number() OVER (PARTITION BY site_code, product_family ORDER BY month_key DESC) = 1) CROSS JOIN range(1, 7) t(h)", _SITE)
 def l6_future_frame(spark, sf):
-    return FC.future_frame(_site(spark, sf), SITE, 6)
-
+    return FC.future_frame(SC.site_months(spark, sf), SITE, 6)
 
-_BACK = """SELECT site_code, product_family, month_key, demand_qty, lag(demand_qty, 1) OVER w AS naive, lag(demand_qty, 12) OVER w AS seasonal, avg(demand_qty) OVER (PARTITION BY site_code, product_family ORDER BY month_key ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS moving,
-    row_number() OVER (PARTITION BY site_code, product_family ORDER BY month_key DESC) AS rn, count(*) OVER (PARTITION BY site_code, product_family) AS n FROM site_months WINDOW w AS (PARTITION BY site_code, product_family ORDER BY month_key)"""
-_SCORED = "SELECT *, greatest(0, CASE WHEN n < 24 THEN coalesce(naive, 0) ELSE 0.35 * coalesce(naive, 0) + 0.35 * coalesce(seasonal, 0) + 0.30 * coalesce(moving, 0) END) AS forecast, CASE WHEN n < 24 THEN 'CROSTON' ELSE 'ENSEMBLE' END AS method FROM backtest WHERE rn <= 6"
-_ACCURACY = f"SELECT site_code, product_family, {R('avg(CASE WHEN demand_qty <> 0 THEN abs(forecast - demand_qty) / abs(demand_qty) * 100 END)', 4)} AS mape, {R('avg(CASE WHEN abs(demand_qty) + abs(forecast) <> 0 THEN 200 * abs(forecast - demand_qty) / (abs(demand_qty) + abs(forecast)) END)', 4)} AS smape, {R('sqrt(avg((forecast - demand_qty) * (forecast - demand_qty)))', 4)} AS rmse, {R('avg(abs(forecast - demand_qty))', 4)} AS mae, count(*) AS n FROM scored GROUP BY 1, 2"
-_BACK_VIEWS = _SITE | {"backtest": _BACK, "scored": _SCORED, "accuracy": _ACCURACY}
 
+# L: models (no SQL can say them; tests hold what is read from them to DuckDB over the written tables)
 
-def _backtest(spark, sf):
-    w = G.series(SITE)
-    m = _site(spark, sf)
-    m = m.withColumns({"naive": F.lag("demand_qty", 1).over(w), "seasonal": F.lag("demand_qty", 12).over(w), "moving": F.avg("demand_qty").over(w.rowsBetween(-6, -1)), "n": F.count("*").over(W.partitionBy(*SITE))})
-    m = G.hold_out_last(m, 6, SITE).where("is_test")
-    forecast, method = FC.ensemble(*[F.coalesce(c, F.lit(0.0)) for c in ("naive", "seasonal", "moving")], F.coalesce("naive", F.lit(0.0)), F.col("n") < 24)
-    return m.withColumns({"forecast": forecast, "method": method})
 
-
-def _accuracy(spark, sf):
-    return rounded(_backtest(spark, sf).groupBy(*SITE).agg(*FC.error_metrics(F.col("demand_qty"), F.col("forecast"))), 4)
+@query()
+def l3_demand_regressors(spark, sf):
+    rows, _ = SC.demand_features(SC.site_months(spark, sf))
+    return SC.regressed(rows, SC.demand_models(rows)).select(*SITE, "month_key", "demand_qty", "is_test", "gbt", "forest")
 
 
-@query(f"SELECT site_code, product_family, month_key, {R('forecast', 4)} AS forecast, method FROM scored", _BACK_VIEWS)
+@query()
 def l7_ensemble(spark, sf):
-    return _backtest(spark, sf).select(*SITE, "month_key", r("forecast", 4).alias("forecast"), "method")
+    return SC.demand_forecasts(SC.site_months(spark, sf))
 
 
-@query("SELECT * FROM accuracy", _BACK_VIEWS)
+@query()
 def l8_backtest(spark, sf):
-    return _accuracy(spark, sf)
+    return SC.demand_accuracy(SC.demand_backtest(SC.site_months(spark, sf)))
 
 
-@query(f"SELECT {R('list_sort(list(mape))[count(*) // 2 + 1]', 4)} AS median_error, {R('avg(mape)', 4)} AS mean_error, count(*) AS series FROM accuracy", _BACK_VIEWS)
+@query()
 def f18_accuracy_summary(spark, sf):
-    return rounded(T.accuracy_summary(_accuracy(spark, sf)), 4)
-
+    return rounded(T.accuracy_summary(SC.demand_accuracy(SC.demand_backtest(SC.site_months(spark, sf)))), 4)
 
-# L: models (no SQL)
 
-_COLS = ["demand_lag_1", "demand_roll_avg_3", "yield_lag_1", "yield_roll_avg_3", "target_test_time_sec", "month_of_year", "utilization_rate"]
+@query()
+def l9_yield_model(spark, sf):
+    scored, _, _ = SC.yield_scores(spark, sf)
+    return scored.select("feat_pk", "target_yield", "predicted_yield", "residual", "abs_error_pp")
 
 
-def _store(spark, sf):
-    rows = N.feature_store(A.monthly(spark, sf), SERIES, A.CUTOFF).withColumn("feat_pk", C.md5_strict(*SERIES, "month_key"))
-    return ml.features(rows.where("target_yield is not null"), _COLS)
+@query()
+def l9_yield_folds(spark, sf):
+    return SC.yield_folds(spark, sf)
 
 
 @query()
-def l3_demand_regressors(spark, sf):
-    rows = _store(spark, sf)
-    gbt, forest = ml.regressors("demand_qty", trees=5, depth=3)
-    train = rows.where(F.col("month_key") <= A.CUTOFF)
-    return forest.fit(train).transform(gbt.fit(train).transform(rows)).select("feat_pk", "demand_qty", "gbt", "forest")
+def l11_attributions(spark, sf):
+    scored, model, names = SC.yield_scores(spark, sf)
+    return ml.attributions(scored, model, "feat_pk", names, 10)
 
 
-@query()
-def l9_yield_model(spark, sf):
-    rows = _store(spark, sf)
-    model = ml.regressors("target_yield", trees=5, depth=3)[0].fit(rows.where(F.col("month_key") <= A.CUTOFF))
-    out = model.transform(rows).withColumnRenamed("gbt", "predicted_yield")
-    return out.select("feat_pk", "target_yield", "predicted_yield").withColumns(ml.residuals(F.col("target_yield"), F.col("predicted_yield")))
+_COLS = ["demand_lag_1", "demand_roll_avg_3", "yield_lag_1", "yield_roll_avg_3", "target_test_time_sec", "month_of_year", "utilization_rate"]
 
 
-@query()
-def l11_attributions(spark, sf):
-    rows = _store(spark, sf)
-    model = ml.regressors("target_yield", trees=5, depth=3)[0].fit(rows)
-    return ml.attributions(rows, model, "feat_pk", _COLS, 5)
+def _store(spark, sf):
+    rows = N.feature_store(A.monthly(spark, sf), SERIES, A.CUTOFF).withColumn("feat_pk", C.md5_strict(*SERIES, "month_key"))
+    return ml.features(rows.where("target_yield is not null"), _COLS)
 
 
 @query()
@@ -148,20 +124,22 @@ def l12_oversampling(spark, sf):
 
 @query()
 def l13_failure_model(spark, sf):
-    o = _oee_site(spark, sf).withColumn("label", G.below_within("oee", 0.3, 3, G.series(["site_code", "test_type"])))
-    rows = ml.features(ml.balance_weights(o, "label"), ["availability", "performance", "quality", "oee"])
-    rows = ml.stratified_folds(rows, "label", ["site_code", "test_type", "month_key"], 5)
-    model = ml.failure_model(trees=5, depth=3).fit(rows.where("fold <> 0"))
-    from pyspark.ml.functions import vector_to_array
+    return SC.failure_scores(spark, sf)
+
 
-    p = vector_to_array("probability")[1]
-    return model.transform(rows).select("site_code", "test_type", "month_key", "label", "fold", p.alias("probability"), C.risk_tier(p).alias("risk_tier"))
+@query()
+def l13_failure_folds(spark, sf):
+    return SC.failure_folds(spark, sf)
+
+
+@query()
+def l14_risk_alerts(spark, sf):
+    return ml.risk_alerts(SC.failure_scores(spark, sf))
 
 
 @query()
 def l16_isolation_forest(spark, sf):
-    rows = _store(spark, sf)
-    return ml.isolation_forest(rows, "feat_pk", ["demand_qty", "target_yield", "target_test_time_sec", "utilization_rate"], trees=50)
+    return SC.anomaly_scores(spark, sf).select(*SC.MACHINE, "month_key", "score", "is_anomaly")
 
 
 @query(
@@ -172,26 +150,16 @@ def l15_standardize(spark, sf):
     return ml.standardized(m, ["demand_qty"]).select("site_code", "test_type", "month_key", r("demand_qty_z", 4).alias("demand_qty_z"))
 
 
-_RANKED = "SELECT *, (rank() OVER (ORDER BY oee) - 1 + (count(*) OVER (PARTITION BY oee) + 1) / 2) / count(*) OVER () AS pct FROM (SELECT site_code, test_type, month_key, round(oee, 6) AS oee FROM oee_site)"
-_TIERED = "SELECT *, CASE WHEN pct <= .02 THEN 'CRITICAL' WHEN pct <= .05 THEN 'HIGH' WHEN pct <= .1 THEN 'MEDIUM' ELSE 'NORMAL' END AS severity FROM ranked"
-_TIER_VIEWS = _OEE_SITE | {"ranked": _RANKED, "tiered": _TIERED}
-
-
-def _tiered(spark, sf):
-    o = _oee_site(spark, sf).select("site_code", "test_type", "month_key", F.round("oee", 6).alias("oee"))
-    return G.percent_rank_of(o, "oee", "pct").withColumn("severity", C.anomaly_tier("pct"))
-
-
-@query("SELECT severity, count(*) AS n FROM tiered GROUP BY 1", _TIER_VIEWS)
+@query()
 def l17_anomaly_tiers(spark, sf):
-    return _tiered(spark, sf).groupBy("severity").agg(F.count("*").alias("n"))
+    return SC.anomaly_scores(spark, sf).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT site_code, count(*) AS n, count(*) FILTER (WHERE severity <> 'NORMAL') AS anomalies, {R('avg(CASE WHEN severity <> ' + repr('NORMAL') + ' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS rate, {R('avg(oee)', 4)} AS mean_oee, {R('min(oee)', 4)} AS min_oee FROM tiered GROUP BY 1", _TIER_VIEWS)
+@query()
 def f15_anomaly_summary(spark, sf):
-    odd = F.col("severity") != "NORMAL"
-    out = _tiered(spark, sf).groupBy("site_code").agg(F.count("*").alias("n"), F.count_if(odd).alias("anomalies"), r(F.avg(F.when(odd, 1.0).otherwise(0.0))).alias("rate"), r(F.avg("oee"), 4).alias("mean_oee"), r(F.min("oee"), 4).alias("min_oee"))
-    return out
+    odd = F.when(F.col("is_anomaly"), 1.0).otherwise(0.0)
+    out = SC.anomaly_scores(spark, sf).groupBy("site_code")
+    return rounded(out.agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("anomalies"), F.avg(odd).alias("rate"), F.avg("oee").alias("mean_oee"), F.min("oee").alias("min_oee"), F.avg("score").alias("mean_score")))
 
 
 # L: risk
@@ -323,70 +291,45 @@ def m4_equipment_utilization(spark, sf):
     return T.equipment_utilization(u, site="nation_4", limit=5000)
 
 
-_PRED = "SELECT site_code, product_family, test_type, month_key, target_yield, avg(target_yield) OVER (PARTITION BY site_code, product_family, test_type ORDER BY month_key ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS predicted_yield FROM monthly"
-
-
-def _pred(spark, sf):
-    return A.monthly(spark, sf).select(*SERIES, "month_key", "target_yield", F.avg("target_yield").over(G.series(SERIES).rowsBetween(-3, -1)).alias("predicted_yield"))
-
-
-@query(f"SELECT site_code, product_family, test_type, month_key, {R('target_yield', 5)} AS target_yield, {R('predicted_yield', 5)} AS predicted_yield FROM (SELECT * FROM pred WHERE test_type = 'NO' AND month_key BETWEEN 199801 AND 199912 ORDER BY month_key, site_code, product_family, test_type LIMIT 2000)", {"pred": _PRED})
+@query()
 def m5_yield_prediction(spark, sf):
-    return rounded(T.yield_prediction(_pred(spark, sf), test_type="no", first=199801, last=199912, limit=9999), 5)
+    scored, _, _ = SC.yield_scores(spark, sf)
+    rows = scored.select(*SERIES, "month_key", "target_yield", "predicted_yield", "residual")
+    return rounded(T.yield_prediction(rows, test_type="no", first=199801, last=199912, limit=9999), 5)
 
 
-@query(
-    f"""SELECT feature, {R('avg(abs(c))', 5)} AS mean_abs, {R('avg(c)', 5)} AS mean_signed, count(*) AS n FROM (SELECT 'handling' AS feature, handling_time_sec - 35 AS c, site_code, test_type FROM fact UNION ALL SELECT 'test_time', test_time_sec - 125, site_code, test_type FROM fact)
-    WHERE site_code = 'NATION_3' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
-)
+@query()
 def m6_yield_drivers(spark, sf):
-    f = A.fact(spark, sf).withColumn("pk", F.concat_ws("-", "order_key", "line_number", "factory_code", "product_number"))
-    rows = f.select("pk", F.explode(F.array(F.struct(F.lit("handling").alias("feature"), (F.col("handling_time_sec") - 35).alias("contribution")), F.struct(F.lit("test_time").alias("feature"), (F.col("test_time_sec") - 125).alias("contribution")))).alias("x")).select("pk", "x.*")
-    return rounded(T.yield_drivers(rows, f, "pk", site="nation_3"), 5)
-
-
-_ADJUSTED = """SELECT *, unit * equip_qty_available AS capacity FROM (SELECT *, coalesce(coalesce(nullif(hours_per_shift_normal, 0), 8.0::DOUBLE) * 3600 / nullif(t * (1 + (1 - y) * 1.5) / least(1.0::DOUBLE, greatest(0.01::DOUBLE, utilization_rate)), 0), 0)
-    * (1 - coalesce(allowance_pct, 0.1::DOUBLE)) * coalesce(nullif(productivity_pct, 0), 0.95::DOUBLE) * coalesce(nullif(working_days_normal, 0), 22) * coalesce(nullif(shifts_per_day_normal, 0), 2) AS unit FROM (
-    SELECT b.*, p.predicted_yield, handling_time_sec + target_test_time_sec AS t, least(0.99::DOUBLE, greatest(0.5::DOUBLE, coalesce(p.predicted_yield, b.target_yield))) AS y FROM base b LEFT JOIN pred p
-    ON p.site_code = b.site_code AND p.product_family = b.product_family AND p.test_type = b.test_type AND p.month_key = b.month_key WHERE b.site_code = 'NATION_5' AND b.test_type = 'NO'))"""
+    scored, model, names = SC.yield_scores(spark, sf)
+    return rounded(T.yield_drivers(ml.attributions(scored, model, "feat_pk", names, 10), scored, "feat_pk", site="nation_3"), 5)
 
 
-@query(
-    f"""SELECT gcm_pk, month_key, equip_qty_available, {R('capacity', 3)} AS capacity_qty, {R('coalesce(least(5.0::DOUBLE, greatest(0.0::DOUBLE, effective_demand_qty / nullif(capacity, 0))), 5.0)', 5)} AS ml_utilization_ratio,
-    {R('(capacity - effective_demand_qty) / effective_demand_qty * 100', 3)} AS ml_gap_pct, CASE WHEN predicted_yield IS NULL THEN 'TARGET' ELSE 'PREDICTED' END AS yield_source FROM adjusted ORDER BY month_key, gcm_pk LIMIT 400""",
-    {"pred": _PRED, "adjusted": _ADJUSTED},
-)
+@query()
 def m7_adjusted_capacity(spark, sf):
-    from planforge.operators.capacity import with_predicted_yield
-
-    adjusted = with_predicted_yield(chains.base(spark, sf), _pred(spark, sf), ["site_code", "product_family", "test_type", "month_key"])
+    scored, _, _ = SC.yield_scores(spark, sf)
+    adjusted = with_predicted_yield(chains.base(spark, sf), scored.select(*SERIES, "month_key", "predicted_yield"), [*SERIES, "month_key"])
     out = T.adjusted_capacity(adjusted, site="nation_5", test_type="no", limit=400)
     return out.select("gcm_pk", "month_key", "equip_qty_available", r("capacity_qty", 3).alias("capacity_qty"), r("ml_utilization_ratio", 5).alias("ml_utilization_ratio"), r("ml_gap_pct", 3).alias("ml_gap_pct"), "yield_source")
 
 
-_RISK = "SELECT site_code, test_type, month_key, round(1 - oee, 6) AS probability, CASE WHEN round(1 - oee, 6) <= .2 THEN 'LOW' WHEN round(1 - oee, 6) <= .4 THEN 'MEDIUM' WHEN round(1 - oee, 6) <= .7 THEN 'HIGH' ELSE 'CRITICAL' END AS risk_tier FROM oee_site"
-_RISK_VIEWS = _OEE_SITE | {"risk": _RISK}
-
-
-def _risk(spark, sf):
-    p = F.round(1 - F.col("oee"), 6)
-    return _oee_site(spark, sf).select("site_code", "test_type", "month_key", p.alias("probability"), C.risk_tier(p).alias("risk_tier"))
-
-
-@query("SELECT * FROM risk WHERE risk_tier IN ('HIGH', 'CRITICAL') AND test_type = 'AF' ORDER BY probability DESC, site_code, test_type, month_key LIMIT 500", _RISK_VIEWS)
+@query()
 def m8_maintenance_alerts(spark, sf):
-    return T.maintenance_alerts(_risk(spark, sf), test_type="af")
+    return T.maintenance_alerts(SC.failure_scores(spark, sf), test_type="af")
 
 
-@query(f"SELECT site_code, month_key, {R('avg(probability)', 5)} AS avg_probability, max(probability) AS max_probability, count(*) FILTER (WHERE risk_tier IN ('HIGH', 'CRITICAL')) AS alerts FROM risk WHERE month_key >= 199601 GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 500", _RISK_VIEWS)
+@query()
 def m9_failure_risk_trend(spark, sf):
-    return T.failure_risk_trend(_risk(spark, sf), first=199601).withColumn("avg_probability", r("avg_probability", 5))
+    return T.failure_risk_trend(SC.failure_scores(spark, sf), first=199601).withColumn("avg_probability", r("avg_probability", 5))
 
 
-@query(f"SELECT site_code, product_family, 'ALL' AS test_type, month_key, {R('trend_forecast', 3)} AS trend_forecast FROM trend WHERE product_family = 'PROMO' ORDER BY 1, 2, 4 LIMIT 120", _TREND_VIEWS)
+@query()
 def m10_demand_forecast(spark, sf):
-    f = FC.seasonal_trend(_site(spark, sf), SITE, 6).withColumn("test_type", F.lit("ALL"))
-    return rounded(T.demand_forecast(f, family="promo", limit=120).select(*SITE, "test_type", "month_key", "trend_forecast"), 3)
+    return T.demand_forecast(SC.demand_forecasts(SC.site_months(spark, sf)), family="promo", method="ensemble", limit=120)
+
+
+@query()
+def m11_forecast_accuracy(spark, sf):
+    return T.forecast_accuracy(SC.demand_accuracy(SC.demand_backtest(SC.site_months(spark, sf))), site="nation_3")
 
 
 _SPEND = "SELECT *, greatest(0, ceil(p80_need) - 2) * CASE WHEN test_type LIKE 'A%' THEN 250000 ELSE 120000 END AS p80_spend FROM sizes"

@@ -244,40 +244,55 @@ def c7_schema_check(spark, sf):
 
 # D: reshaping
 
-_WIDE = ", ".join(f"sum(total_qty) FILTER (WHERE month_key = {199801 + i}) AS {m}" for i, m in enumerate(A.MONTHS_1998))
+#: Months of the given tables; only the SQL needs them spelt out, the queries look them up.
+_ALL = [(y * 100 + m, f"{C.MONTHS[m - 1]}_{y}") for y in range(1995, 2002) for m in range(1, 13) if y * 100 + m <= 200111]
+_WIDE = ", ".join(f"sum(total_qty) FILTER (WHERE month_key = {k}) AS {label}" for k, label in _ALL)
+
+
+def _labelled(spark, sf):
+    return A.fact(spark, sf).withColumn("label", C.month_label("month_key"))
+
+
+def _labels(spark, sf):
+    """Labels of all months from the first to the last that the table holds, from one aggregate."""
+    ends = table(spark, sf, "lineitem").select(C.month_key("l_shipdate").alias("k")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo is not null")
+    months = ends.select(F.explode(C.month_range("lo", "hi")).alias("k"))
+    return [r["label"] for r in months.orderBy("k").select(C.month_label("k").alias("label")).collect()]
 
 
 def _wide(spark, sf):
-    rows = A.fact(spark, sf).where("month_key between 199801 and 199812").withColumn("label", C.month_label("month_key"))
-    return S.pivot_months(rows, ["site_code", "product_family"], "total_qty", A.MONTHS_1998)
+    return S.pivot_months(_labelled(spark, sf), ["site_code", "product_family"], "total_qty", _labels(spark, sf))
 
 
-@query(f"SELECT site_code, product_family, {_WIDE} FROM fact WHERE month_key BETWEEN 199801 AND 199812 GROUP BY 1, 2")
+@query(f"SELECT site_code, product_family, {_WIDE} FROM fact GROUP BY 1, 2")
 def d1_pivot_months(spark, sf):
     return _wide(spark, sf)
 
 
-@query("SELECT site_code, product_family, month_key, sum(total_qty) AS demand_qty FROM fact WHERE month_key BETWEEN 199801 AND 199812 GROUP BY 1, 2, 3")
+@query("SELECT site_code, product_family, month_key, sum(total_qty) AS demand_qty FROM fact GROUP BY 1, 2, 3")
 def d2_unpivot_months(spark, sf):
     return S.unpivot_months(_wide(spark, sf), ["site_code", "product_family"], "demand_qty")
 
 
 @query(
-    """SELECT g.site_code, g.product_family, m.month_key, f.demand_qty FROM (SELECT DISTINCT site_code, product_family FROM fact WHERE month_key BETWEEN 199801 AND 199812) g
-    CROSS JOIN (SELECT CAST(199800 + i AS INTEGER) AS month_key FROM range(1, 13) t(i)) m LEFT JOIN (SELECT site_code, product_family, month_key, sum(total_qty) AS demand_qty FROM fact GROUP BY 1, 2, 3) f USING (site_code, product_family, month_key)"""
+    f"""SELECT g.site_code, g.product_family, m.month_key, f.demand_qty FROM (SELECT DISTINCT site_code, product_family FROM fact) g
+    CROSS JOIN (SELECT CAST(unnest({[k for k, _ in _ALL]}) AS INTEGER) AS month_key) m LEFT JOIN (SELECT site_code, product_family, month_key, sum(total_qty) AS demand_qty FROM fact GROUP BY 1, 2, 3) f USING (site_code, product_family, month_key)"""
 )
 def d3_unpivot_keep_nulls(spark, sf):
     return S.unpivot_months(_wide(spark, sf), ["site_code", "product_family"], "demand_qty", drop_nulls=False)
 
 
-@query(
-    f"SELECT site_code, CAST(month_key AS INTEGER) AS month_key, {R('avg(utilization_rate)')} AS use, sum(total_qty) AS qty FROM fact WHERE month_key BETWEEN 199801 AND 199803 GROUP BY 1, 2"
-)
+#: The eleven figures of a site and month: name, aggregate and column.
+_METRICS = [
+    ("qty", "sum", "total_qty"), ("failed", "sum", "failed_qty"), ("most", "max", "total_qty"), ("least", "min", "total_qty"), ("use", "avg", "utilization_rate"), ("yield", "avg", "yield_avg"),
+    ("handling", "avg", "handling_time_sec"), ("test", "avg", "test_time_sec"), ("longest", "max", "test_time_sec"), ("units", "max", "equip_qty"), ("runs", "count", "total_qty"),
+]
+
+
+@query("SELECT site_code, CAST(month_key AS INTEGER) AS month_key, " + ", ".join(R(f"CAST({f}({c}) AS DOUBLE)", 4) + f' AS "{n}"' for n, f, c in _METRICS) + " FROM fact GROUP BY 1, 2")
 def d4_unpivot_metrics(spark, sf):
-    months = A.MONTHS_1998[:3]
-    rows = A.fact(spark, sf).where("month_key between 199801 and 199803").withColumn("label", C.month_label("month_key"))
-    wide = rows.groupBy("site_code").pivot("label", months).agg(F.sum("total_qty").alias("qty"), F.avg("utilization_rate").alias("use"))
-    return rounded(S.unpivot_metrics(wide, ["site_code"])).where("qty is not null")
+    wide = _labelled(spark, sf).groupBy("site_code").pivot("label", _labels(spark, sf)).agg(*[F.expr(f"{f}({c})").alias(n) for n, f, c in _METRICS])
+    return rounded(S.unpivot_metrics(wide, ["site_code"]), 4).where("qty is not null")
 
 
 @query("SELECT product_number, CAST(child_seq AS INTEGER) AS child_seq, child_product, child_quantity FROM hierarchy")
@@ -285,9 +300,13 @@ def d5_explode_children(spark, sf):
     return A.hierarchy(spark, sf)
 
 
-@query("SELECT month_key, sum(total_qty) FILTER (WHERE region = 'ASIA') AS \"ASIA\", sum(total_qty) FILTER (WHERE region = 'EUROPE') AS \"EUROPE\" FROM fact GROUP BY 1")
+_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+
+
+@query("SELECT month_key, " + ", ".join(f"sum(total_qty) FILTER (WHERE region = '{x}') AS \"{x}\"" for x in _REGIONS) + " FROM fact GROUP BY 1")
 def d6_spread(spark, sf):
-    return S.spread(A.fact(spark, sf), "month_key", "region", ["ASIA", "EUROPE"], "total_qty")
+    regions = [r["r_name"] for r in table(spark, sf, "region").select("r_name").orderBy("r_name").collect()]  # a handful, as columns
+    return S.spread(A.fact(spark, sf), "month_key", "region", regions, "total_qty")
 
 
 # J: scalar functions

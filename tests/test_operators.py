@@ -174,3 +174,64 @@ def test_split_size_decides_the_partitions(spark, sf_dir):
     mb = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path)) >> 20 if os.path.isdir(path) else os.path.getsize(path) >> 20
     few, many = (io.read_splits(spark, path, split_mb=m).rdd.getNumPartitions() for m in (512, 1))
     assert few < many and many >= mb - 1
+
+
+def months_of(spark, series, first=199901):
+    rows = [(site, "F", C_add(first, i), float(v)) for site, values in series.items() for i, v in enumerate(values)]
+    return spark.createDataFrame(rows, "site_code string, product_family string, month_key int, demand_qty double")
+
+
+def C_add(key, n):
+    m = key // 100 * 12 + key % 100 - 1 + n
+    return m // 12 * 100 + m % 12 + 1
+
+
+def test_forecasts_mix_the_regressors_and_the_trend(spark):
+    from planforge.plans import scores as SC
+
+    rng = random.Random(5)
+    old = [50 + i + 20 * math.sin(i * math.pi / 6) + rng.random() for i in range(48)]
+    months = months_of(spark, {"OLD": old, "NEW": [0, 4, 0, 0, 6]})
+    got = {(r["site_code"], r["horizon"]): r for r in SC.demand_forecasts(months, 6).collect()}
+    assert len(got) == 12 and {r["month_key"] for r in got.values() if r["site_code"] == "OLD"} == {C_add(199901, 48 + i) for i in range(6)}
+    assert all(got["NEW", h]["method"] == "CROSTON" and got["NEW", h]["forecast"] == pytest.approx(3.5) for h in range(1, 7))
+    rows, names = SC.demand_features(months)
+    models = SC.demand_models(rows)
+    trend = {r["month_key"]: r["trend_forecast"] for r in FC.seasonal_trend(months.where("site_code = 'OLD'"), SC.SITE, 6).collect()}
+    last = rows.where("site_code = 'OLD'").orderBy(F.col("month_key").desc()).limit(1).drop("features")
+    for h in range(1, 7):
+        key = C_add(199901, 47 + h)
+        one = SC.regressed(ml.features(last.withColumn("month_key", F.lit(key)).withColumns(SC.calendar()), names), models).first()
+        assert got["OLD", h]["method"] == "ENSEMBLE"
+        assert got["OLD", h]["forecast"] == pytest.approx(0.35 * one["gbt"] + 0.35 * one["forest"] + 0.30 * trend[key], abs=0.006)
+
+
+def test_backtest_knows_nothing_of_the_months_it_scores(spark):
+    from planforge.plans import scores as SC
+
+    values = [10.0 + i % 12 for i in range(36)]
+    plain = SC.demand_backtest(months_of(spark, {"A": values, "SHORT": [1.0] * 3})).collect()
+    assert len(plain) == 6 and sorted(r["month_key"] for r in plain if r["site_code"] == "A") == [C_add(199901, 30 + i) for i in range(6)]
+    bent = {r["month_key"]: r["forecast"] for r in SC.demand_backtest(months_of(spark, {"A": values[:-1] + [9999.0], "SHORT": [1.0] * 3})).collect() if r["site_code"] == "A"}
+    assert all(bent[r["month_key"]] == pytest.approx(r["forecast"]) for r in plain if r["site_code"] == "A")
+    score = SC.demand_accuracy(spark.createDataFrame([("A", "F", 1, 10.0, 12.0), ("A", "F", 2, 0.0, 1.0)], "site_code string, product_family string, month_key int, demand_qty double, forecast double")).first()
+    assert (score["mape"], score["mae"], score["rmse"], score["n"]) == (20.0, 1.5, 1.58, 2)
+
+
+def test_reads_of_model_tables(spark):
+    from planforge.plans import functions as T
+
+    risk = spark.createDataFrame([("S1", "AF", 199901, 0.9, "CRITICAL"), ("S1", "AF", 199902, 0.5, "HIGH"), ("S1", "AO", 199901, 0.1, "LOW"), ("S2", "AF", 199901, 0.75, "CRITICAL")], "site_code string, test_type string, month_key int, probability double, risk_tier string")
+    assert [r["probability"] for r in T.maintenance_alerts(risk, test_type="af").collect()] == [0.9, 0.75, 0.5]
+    assert [r["probability"] for r in T.maintenance_alerts(risk, site="s1", tier="high").collect()] == [0.5]
+    trend = [tuple(r) for r in T.failure_risk_trend(risk).collect()]
+    assert trend == [("S1", 199901, 0.5, 0.9, 1), ("S1", 199902, 0.5, 0.5, 1), ("S2", 199901, 0.75, 0.75, 1)]
+    parts = spark.createDataFrame([(1, "a", 2.0), (1, "b", -1.0), (2, "a", -4.0), (3, "a", 100.0)], "k int, feature string, contribution double")
+    rows = spark.createDataFrame([(1, "S1", "AF"), (2, "S1", "AF"), (3, "S2", "AF")], "k int, site_code string, test_type string")
+    assert [tuple(r) for r in T.yield_drivers(parts, rows, "k", site="s1").collect()] == [("a", 3.0, -1.0, 2), ("b", 1.0, -1.0, 1)]
+    ahead = spark.createDataFrame([("S1", "F", 200001, 1.0, "CROSTON"), ("S1", "G", 200001, 2.0, "ENSEMBLE")], "site_code string, product_family string, month_key int, forecast double, method string")
+    assert [r["product_family"] for r in T.demand_forecast(ahead, method="croston").collect()] == ["F"]
+    errors = spark.createDataFrame([("S1", "F", 5.0), ("S1", "G", None), ("S2", "F", 1.0), ("S1", "H", 2.0)], "site_code string, product_family string, mape double")
+    assert [r["product_family"] for r in T.forecast_accuracy(errors, site="s1").collect()] == ["H", "F", "G"]
+    both = T.accuracy_summary(errors).first()
+    assert (both["median_error"], both["upper_median_error"]) == (2.0, 2.0)

@@ -39,7 +39,7 @@ def test_matches_sql(name, spark, sf_dir, duck):
 def test_runs(name, spark, sf_dir):
     df = QUERIES[name](spark, sf_dir)
     assert df.count() > 0
-    key = {"l11_attributions": ["feat_pk", "rank"], "l13_failure_model": ["site_code", "test_type", "month_key"]}.get(name, ["feat_pk"])
+    key = {"l11_attributions": ["feat_pk", "rank"], **dict.fromkeys(("l3_demand_regressors", "l7_ensemble", "m10_demand_forecast"), ["site_code", "product_family", "month_key"]), **dict.fromkeys(("l13_failure_model", "l14_risk_alerts", "l16_isolation_forest"), ["site_code", "test_type", "month_key"])}.get(name, ["feat_pk"])
     if set(key) <= set(df.columns):
         assert df.groupBy(*key).count().where("count > 1").count() == 0
 
