@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planforge.functions import columns as C
@@ -132,6 +131,42 @@ def e15_driver_facts(spark, sf):
     return A.fact(spark, sf).join(low, ["site_code", "test_type", "month_key"], "left_semi").select("order_key", "line_number", "total_qty")
 
 
+# Serving views: a result with the names of its site and product
+
+_TIER_SQL = "CASE WHEN oee >= 0.85 THEN 'WORLD_CLASS' WHEN oee >= 0.65 THEN 'GOOD' WHEN oee >= 0.5 THEN 'AVERAGE' ELSE 'POOR' END"
+
+
+def _named(df, spark, sf, product=False):
+    """With the region of its site, and family, platform and status of its product; rows without either stay."""
+    df = df.join(F.broadcast(A.sites(spark, sf).select("site_code", "region")), "site_code", "left")  # sites are nations
+    return df.join(A.products(spark, sf).select("product_number", "product_family", "platform", "product_status"), "product_number", "left") if product else df
+
+
+@query(f"SELECT o.site_code, s.region, test_type, month_key, {R('availability')} AS availability, {R('performance')} AS performance, {R('quality')} AS quality, {R('oee')} AS oee, {_TIER_SQL} AS oee_tier FROM oee_site o LEFT JOIN sites s USING (site_code)", _OEE_SITE)
+def k12_oee_trend(spark, sf):
+    out = _named(_oee_site(spark, sf), spark, sf).withColumn("oee_tier", C.oee_tier("oee"))
+    return rounded(out.select("site_code", "region", "test_type", "month_key", "availability", "performance", "quality", "oee", "oee_tier"))
+
+
+@query(f"SELECT a.site_code, s.region, a.product_number, p.product_family, p.platform, p.product_status, a.month_key, forecast_qty, actual_qty, abs_error, {R('pct_error')} AS mape_contribution, {R('bias_pct')} AS bias_pct, CASE WHEN forecast_error > 0 THEN 'OVER_FORECAST' WHEN forecast_error < 0 THEN 'UNDER_FORECAST' ELSE 'ACCURATE' END AS bias_direction FROM accuracy a LEFT JOIN sites s USING (site_code) LEFT JOIN products p USING (product_number)", {"accuracy": _ACC})
+def k12_forecast_accuracy(spark, sf):
+    out = _named(N.forecast_accuracy(A.demand(spark, sf), "S1", "S2"), spark, sf, product=True).withColumn("bias_direction", C.bias("forecast_error"))
+    return rounded(out.select("site_code", "region", "product_number", "product_family", "platform", "product_status", "month_key", "forecast_qty", "actual_qty", "abs_error", F.col("pct_error").alias("mape_contribution"), "bias_pct", "bias_direction"))
+
+
+@query(
+    f"""SELECT *, CASE WHEN abs(yield_variance) > .05 THEN 'SIGNIFICANT' WHEN abs(yield_variance) > .02 THEN 'MODERATE' ELSE 'NORMAL' END AS yield_variance_flag FROM (
+    SELECT a.site_code, s.region, a.product_number, p.product_family, p.platform, p.product_status, a.factory_code, a.test_type, a.month_key, total_qty, {R('ay')} AS actual_yield_avg, {R('att')} AS actual_test_duration_avg_sec,
+    {R('ay - target_yield')} AS yield_variance, {R('att - target_test_time_sec')} AS test_time_variance_sec FROM actuals a JOIN (SELECT DISTINCT * FROM plan WHERE month_key <= {CUTOFF}) t USING (site_code, product_number, test_type, month_key)
+    LEFT JOIN sites s USING (site_code) LEFT JOIN products p USING (product_number) WHERE a.month_key <= {CUTOFF})""",
+    {"actuals": _ACT, "plan": _PLAN},
+)
+def k12_actuals_summary(spark, sf):
+    out = rounded(_named(N.actual_vs_target(_actuals(spark, sf), _plan(spark, sf), CUTOFF), spark, sf, product=True))
+    names = ["site_code", "region", "product_number", "product_family", "platform", "product_status", "factory_code", "test_type", "month_key", "total_qty", "actual_yield_avg", "actual_test_duration_avg_sec", "yield_variance", "test_time_variance_sec"]
+    return out.select(*names, C.variance_flag("yield_variance").alias("yield_variance_flag"))
+
+
 # F: aggregates
 
 
@@ -259,10 +294,9 @@ def g16_top_n(spark, sf):
 
 @query("SELECT product_number, month_key, n_months, n_sites, n_months < 12 AND n_sites <= 3 AS is_npi FROM (SELECT DISTINCT product_number, month_key FROM fact) JOIN (SELECT product_number, count(DISTINCT month_key) AS n_months, count(DISTINCT site_code) AS n_sites FROM fact GROUP BY 1) USING (product_number)")
 def g17_npi_flag(spark, sf):
-    w = W.partitionBy("product_number")
     rows = A.fact(spark, sf).select("product_number", "month_key", "site_code").distinct()
-    n = {"n_months": F.size(F.collect_set("month_key").over(w)).cast("bigint"), "n_sites": F.size(F.collect_set("site_code").over(w)).cast("bigint")}
-    return rows.withColumns(n).select("product_number", "month_key", "n_months", "n_sites", ((F.col("n_months") < 12) & (F.col("n_sites") <= 3)).alias("is_npi")).distinct()
+    n = rows.groupBy("product_number").agg(F.countDistinct("month_key").alias("n_months"), F.countDistinct("site_code").alias("n_sites"))
+    return rows.select("product_number", "month_key").distinct().join(n, "product_number").withColumn("is_npi", (F.col("n_months") < 12) & (F.col("n_sites") <= 3))
 
 
 # H: order, caps, pages
