@@ -38,7 +38,9 @@ def test_matches_sql(name, spark, sf_dir, duck):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark, sf_dir):
     df = QUERIES[name](spark, sf_dir)
-    assert df.count() > 0
+    site = {"m7_adjusted_capacity": 5}.get(name)  # a read of one site is empty where no supplier is there
+    present = site is None or spark.read.parquet(f"{sf_dir}/supplier.parquet").where(f"s_nationkey = {site}").count() > 0
+    assert (df.count() > 0) == present
     key = {"l11_attributions": ["feat_pk", "rank"], **dict.fromkeys(("l3_demand_regressors", "l7_ensemble", "m10_demand_forecast"), ["site_code", "product_family", "month_key"]), **dict.fromkeys(("l13_failure_model", "l14_risk_alerts", "l16_isolation_forest"), ["site_code", "test_type", "month_key"])}.get(name, ["feat_pk"])
     if set(key) <= set(df.columns):
         assert df.groupBy(*key).count().where("count > 1").count() == 0
