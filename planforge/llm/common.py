@@ -78,6 +78,9 @@ class Tables:
     def release(self) -> None:
         release(*self.made)
 
+    def release_all_but(self, result: DataFrame) -> None:
+        release(*[df for df in self.made if df is not result])
+
 
 def in_slices(batch: pa.RecordBatch, column: str = "text", most_rows: int = 512, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows whose texts have about ``most_bytes`` together; a longer text is a run of its own."""
