@@ -1,4 +1,4 @@
-"""Models of yield, failure and anomalies as Spark ML jobs and grouped Arrow functions."""
+"""Encoding, sampling and scoring around the models, and the isolation forest."""
 
 from __future__ import annotations
 
@@ -7,14 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -36,34 +33,6 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({f"{c}_z": F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")), F.lit(0.0)) for c in columns}).drop(*[f"{c}_{x}" for c in columns for x in "ms"])
 
 
-def month_folds(df: DataFrame, folds: int, months: list[int]) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """Expanding windows in time: train on the months before a cut, test on those up to the next."""
-    cuts = [months[len(months) * i // (folds + 1)] for i in range(1, folds + 1)] + [10**6]
-    for lo, hi in zip(cuts, cuts[1:]):
-        yield df.where(F.col("month_key") < lo), df.where((F.col("month_key") >= lo) & (F.col("month_key") < hi))
-
-
-def regressors(label: str, trees: int = 20, depth: int = 4, seed: int = 7) -> list:
-    return [GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, seed=seed, predictionCol="gbt"), RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed, predictionCol="forest")]
-
-
-def cross_validated(df: DataFrame, model, label: str, folds: int, months: list[int]) -> list[dict]:
-    """MAE and R2 of each time fold."""
-    out = []
-    for i, (train, test) in enumerate(month_folds(df, folds, months)):
-        scored = model.fit(train).transform(test)
-        metric = lambda m: RegressionEvaluator(labelCol=label, predictionCol=model.getPredictionCol(), metricName=m).evaluate(scored)  # noqa: B023, E731
-        out.append({"fold": i, "mae": metric("mae"), "r2": metric("r2")})
-    return out
-
-
-def balance_weights(df: DataFrame, label: str) -> DataFrame:
-    """Inverse class frequencies as weights, in place of made-up rows of the rarer class."""
-    rate = df.agg(F.avg(label).alias("_rate"))
-    w = F.when(F.col(label) == 1, 0.5 / F.greatest("_rate", F.lit(1e-6))).otherwise(0.5 / F.greatest(1 - F.col("_rate"), F.lit(1e-6)))
-    return df.join(F.broadcast(rate), F.lit(True)).withColumn("weight", w).drop("_rate")  # one row
-
-
 def oversample(df: DataFrame, label: str, columns: list[str], groups: int, k: int = 5, seed: int = 11) -> DataFrame:
     """Rows of the rarer class plus points between near neighbours, until a hashed group is balanced.
 
@@ -92,81 +61,13 @@ def oversample(df: DataFrame, label: str, columns: list[str], groups: int, k: in
     return rows.withColumn("_g", F.pmod(F.xxhash64(*columns), F.lit(groups))).groupBy("_g").applyInPandas(grow, schema)
 
 
-def failure_model(seed: int = 5, trees: int = 20, depth: int = 4) -> GBTClassifier:
-    return GBTClassifier(labelCol="label", weightCol="weight", maxIter=trees, maxDepth=depth, seed=seed)
-
-
 def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int) -> DataFrame:
     """Folds by a hash of the key, dealt separately to each label."""
     return df.withColumn("fold", F.pmod(F.xxhash64(F.col(label), *key), F.lit(folds)))
 
 
-def classifier_scores(scored: DataFrame) -> dict[str, float]:
-    return {m: BinaryClassificationEvaluator(labelCol="label", metricName=m).evaluate(scored) for m in ("areaUnderPR", "areaUnderROC")}
-
-
-def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
-    return path
-
-
-# attribution: what each split on the way to a leaf adds to the prediction
-
-
-def tree_tables(model) -> list[dict]:
-    """Each tree of a fitted ensemble as arrays: feature, threshold, children and mean prediction of every node."""
-    out = []
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        t = {"weight": float(weight), "feature": [], "threshold": [], "left": [], "right": [], "value": []}
-
-        def walk(node, t=t) -> int:
-            i = len(t["feature"])
-            leaf = node.subtreeDepth() == 0
-            stats = node.impurityStats().stats()
-            t["value"].append(float(stats[1] / stats[0]) if stats[0] else float(node.prediction()))
-            t["feature"].append(-1 if leaf else int(node.split().featureIndex()))
-            t["threshold"].append(math.inf if leaf else float(node.split().threshold()))
-            t["left"].append(-1)
-            t["right"].append(-1)
-            if not leaf:
-                t["left"][i], t["right"][i] = walk(node.leftChild()), walk(node.rightChild())
-            return i
-
-        walk(tree._call_java("rootNode"))
-        out.append(t)
-    return out
-
-
-def path_contributions(x: np.ndarray, trees: list[dict]) -> np.ndarray:
-    """[row, feature]: sum over trees of the change of the node mean at each split on the row's path."""
-    out = np.zeros(x.shape)
-    for t in trees:
-        feature, threshold, left, right, value = (np.array(t[k]) for k in ("feature", "threshold", "left", "right", "value"))
-        node = np.zeros(len(x), dtype=int)
-        for _ in range(len(feature)):
-            at = np.flatnonzero(feature[node] >= 0)
-            if not len(at):
-                break
-            f = feature[node[at]]
-            nxt = np.where(x[at, f] <= threshold[node[at]], left[node[at]], right[node[at]])
-            np.add.at(out, (at, f), t["weight"] * (value[nxt] - value[node[at]]))
-            node[at] = nxt
-    return out
-
-
-def attributions(df: DataFrame, model, key: str, columns: list[str], n: int = 10) -> DataFrame:
-    """key, feature, contribution, rank: the n features that moved each row's prediction most."""
-    shared = df.sparkSession.sparkContext.broadcast(tree_tables(model))  # trees of bounded depth
-
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            c = path_contributions(pdf[columns].fillna(0.0).to_numpy(float), shared.value)
-            yield pd.DataFrame({key: np.repeat(pdf[key].to_numpy(), len(columns)), "feature": np.tile(columns, len(pdf)), "contribution": c.ravel()})
-
-    kind = dict(df.dtypes)[key]
-    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(explain, f"{key} {kind}, feature string, contribution double")
-    w = W.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature")
-    return long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+def classifier_scores(scored: DataFrame, probability: str) -> dict[str, float]:
+    return {m: BinaryClassificationEvaluator(labelCol="label", rawPredictionCol=probability, metricName=m).evaluate(scored) for m in ("areaUnderPR", "areaUnderROC")}
 
 
 # isolation forest
@@ -236,7 +137,3 @@ def residuals(actual: Column, predicted: Column) -> dict[str, Column]:
 
 def risk_alerts(scored: DataFrame, tier: str = "risk_tier") -> DataFrame:
     return scored.where(F.col(tier).isin("HIGH", "CRITICAL")).withColumn("alert_ts", F.current_timestamp())
-
-
-def assembled(df: DataFrame, columns: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep").transform(df.na.fill(0.0, columns))

@@ -10,6 +10,7 @@ from planforge.operators import analytics as N
 from planforge.operators import forecast as FC
 from planforge.operators import ml
 from planforge.operators import risk as RK
+from planforge.operators import trend as TR
 from planforge.operators.capacity import with_predicted_yield
 from planforge.plans import adapters as A
 from planforge.plans import chains, serving
@@ -19,7 +20,7 @@ from planforge.plans.adapters import SERIES, table
 from planforge.plans.scores import SITE
 from planforge.queries.base import R, query, r, rounded
 from planforge.queries.rollups import _OEE_SITE, _oee_site
-from planforge.sources import io
+from planforge.sources import io, store
 from planforge.streaming.telemetry import deduplicated_stream
 
 _SITE = {"site_months": "SELECT site_code, product_family, month_key, sum(total_qty) AS demand_qty FROM fact GROUP BY 1, 2, 3"}
@@ -71,40 +72,48 @@ def l6_future_frame(spark, sf):
 
 @query()
 def l3_demand_regressors(spark, sf):
-    rows, _ = SC.demand_features(SC.site_months(spark, sf))
-    return SC.regressed(rows, SC.demand_models(rows)).select(*SITE, "month_key", "demand_qty", "is_test", "gbt", "forest")
+    return SC.demand(spark, sf)("fitted")
+
+
+@query()
+def l4_changepoint_trend(spark, sf):
+    return rounded(TR.changepoint_forecasts(TR.histories(SC.site_months(spark, sf), SITE), SITE, SC.HORIZON), 4)
 
 
 @query()
 def l7_ensemble(spark, sf):
-    return SC.demand_forecasts(SC.site_months(spark, sf))
+    return SC.demand(spark, sf)("forecasts")
 
 
 @query()
 def l8_backtest(spark, sf):
-    return SC.demand_accuracy(SC.demand_backtest(SC.site_months(spark, sf)))
+    return SC.demand_accuracy(SC.demand(spark, sf)("backtest"))
+
+
+@query()
+def l8_rolling_origins(spark, sf):
+    errors = FC.error_metrics(F.col("demand_qty"), F.col("forecast"))
+    return rounded(SC.demand(spark, sf)("backtest").groupBy("origin", "horizon").agg(*errors), 4)
 
 
 @query()
 def f18_accuracy_summary(spark, sf):
-    return rounded(T.accuracy_summary(SC.demand_accuracy(SC.demand_backtest(SC.site_months(spark, sf)))), 4)
+    return rounded(T.accuracy_summary(SC.demand_accuracy(SC.demand(spark, sf)("backtest"))), 4)
 
 
 @query()
 def l9_yield_model(spark, sf):
-    scored, _, _ = SC.yield_scores(spark, sf)
-    return scored.select("feat_pk", "target_yield", "predicted_yield", "residual", "abs_error_pp")
+    return SC.yields(spark, sf)("scores").select("feat_pk", "target_yield", "predicted_yield", "residual", "abs_error_pp")
 
 
 @query()
 def l9_yield_folds(spark, sf):
-    return SC.yield_folds(spark, sf)
+    return SC.yields(spark, sf)("folds")
 
 
 @query()
 def l11_attributions(spark, sf):
-    scored, model, names = SC.yield_scores(spark, sf)
-    return ml.attributions(scored, model, "feat_pk", names, 10)
+    return SC.yield_attributions(spark, sf)
 
 
 _COLS = ["demand_lag_1", "demand_roll_avg_3", "yield_lag_1", "yield_roll_avg_3", "target_test_time_sec", "month_of_year", "utilization_rate"]
@@ -124,17 +133,17 @@ def l12_oversampling(spark, sf):
 
 @query()
 def l13_failure_model(spark, sf):
-    return SC.failure_scores(spark, sf)
+    return SC.failures(spark, sf)("scores")
 
 
 @query()
 def l13_failure_folds(spark, sf):
-    return SC.failure_folds(spark, sf)
+    return SC.failures(spark, sf)("folds")
 
 
 @query()
 def l14_risk_alerts(spark, sf):
-    return ml.risk_alerts(SC.failure_scores(spark, sf))
+    return ml.risk_alerts(SC.failures(spark, sf)("scores"))
 
 
 @query()
@@ -249,11 +258,13 @@ def l20_scenarios(spark, sf):
 
 @query()
 def l21_saved_model(spark, sf):
-    from pyspark.ml import Pipeline, PipelineModel
-
-    rows = _store(spark, sf)
-    at = ml.save_model(Pipeline(stages=[ml.regressors("demand_qty", trees=3, depth=2)[1]]).fit(rows), io.scratch(spark, "model"))
-    return PipelineModel.load(at).transform(rows).select("feat_pk", "forest")
+    """Each saved model with what its metadata says and the size of its trees."""
+    out = []
+    for name, build in (("demand", SC.demand), ("failure", SC.failures), ("yield", SC.yields)):
+        trees, meta = build(spark, sf)("trees"), store.of_data(spark, sf).metadata(name)
+        sizes = trees.groupBy("model").agg(F.count_distinct("tree").alias("trees"), F.count("*").alias("nodes"), F.count_if(F.col("feature").isNull()).alias("leaves"), F.max("base").alias("base"))
+        out.append(sizes.select(F.lit(name).alias("entry"), "model", F.lit(meta["target"]).alias("target"), F.lit(len(meta["features"])).alias("n_features"), "trees", "nodes", "leaves", r("base").alias("base")))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # M: table functions
@@ -293,43 +304,40 @@ def m4_equipment_utilization(spark, sf):
 
 @query()
 def m5_yield_prediction(spark, sf):
-    scored, _, _ = SC.yield_scores(spark, sf)
-    rows = scored.select(*SERIES, "month_key", "target_yield", "predicted_yield", "residual")
+    rows = SC.yields(spark, sf)("scores").select(*SERIES, "month_key", "target_yield", "predicted_yield", "residual")
     return rounded(T.yield_prediction(rows, test_type="no", first=199801, last=199912, limit=9999), 5)
 
 
 @query()
 def m6_yield_drivers(spark, sf):
-    scored, model, names = SC.yield_scores(spark, sf)
-    return rounded(T.yield_drivers(ml.attributions(scored, model, "feat_pk", names, 10), scored, "feat_pk", site="nation_3"), 5)
+    return rounded(T.yield_drivers(SC.yield_attributions(spark, sf), SC.yields(spark, sf)("scores"), "feat_pk", site="nation_3"), 5)
 
 
 @query()
 def m7_adjusted_capacity(spark, sf):
-    scored, _, _ = SC.yield_scores(spark, sf)
-    adjusted = with_predicted_yield(chains.base(spark, sf), scored.select(*SERIES, "month_key", "predicted_yield"), [*SERIES, "month_key"])
+    adjusted = with_predicted_yield(chains.base(spark, sf), SC.yields(spark, sf)("scores").select(*SERIES, "month_key", "predicted_yield"), [*SERIES, "month_key"])
     out = T.adjusted_capacity(adjusted, site="nation_5", test_type="no", limit=400)
     return out.select("gcm_pk", "month_key", "equip_qty_available", r("capacity_qty", 3).alias("capacity_qty"), r("ml_utilization_ratio", 5).alias("ml_utilization_ratio"), r("ml_gap_pct", 3).alias("ml_gap_pct"), "yield_source")
 
 
 @query()
 def m8_maintenance_alerts(spark, sf):
-    return T.maintenance_alerts(SC.failure_scores(spark, sf), test_type="af")
+    return T.maintenance_alerts(SC.failures(spark, sf)("scores"), test_type="af")
 
 
 @query()
 def m9_failure_risk_trend(spark, sf):
-    return T.failure_risk_trend(SC.failure_scores(spark, sf), first=199601).withColumn("avg_probability", r("avg_probability", 5))
+    return T.failure_risk_trend(SC.failures(spark, sf)("scores"), first=199601).withColumn("avg_probability", r("avg_probability", 5))
 
 
 @query()
 def m10_demand_forecast(spark, sf):
-    return T.demand_forecast(SC.demand_forecasts(SC.site_months(spark, sf)), family="promo", method="ensemble", limit=120)
+    return T.demand_forecast(SC.demand(spark, sf)("forecasts"), family="promo", method="ensemble", limit=120)
 
 
 @query()
 def m11_forecast_accuracy(spark, sf):
-    return T.forecast_accuracy(SC.demand_accuracy(SC.demand_backtest(SC.site_months(spark, sf))), site="nation_3")
+    return T.forecast_accuracy(SC.demand_accuracy(SC.demand(spark, sf)("backtest")), site="nation_3")
 
 
 _SPEND = "SELECT *, greatest(0, ceil(p80_need) - 2) * CASE WHEN test_type LIKE 'A%' THEN 250000 ELSE 120000 END AS p80_spend FROM sizes"

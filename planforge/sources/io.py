@@ -9,13 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir; where it is unset, in the warehouse, on a local master only."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, one in the warehouse, on a local master only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_planforge_scratch"
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return (at or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_planforge_scratch").rstrip("/")
+
+
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Have a folder for ``checkpoint()``: the session's own, else one in the shared folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)

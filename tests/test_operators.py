@@ -151,20 +151,6 @@ def test_month_arithmetic(spark, key, n):
     assert r["m"] == months // 12 * 100 + months % 12 + 1 and r["back"] == key
 
 
-def test_attributions_sum_to_prediction(spark):
-    rng = random.Random(2)
-    rows = [(str(i), rng.random(), rng.random()) for i in range(300)]
-    df = spark.createDataFrame(rows, "id string, a double, b double").withColumn("y", F.col("a") * 3 + F.when(F.col("b") > 0.5, 1).otherwise(0))
-    df = ml.features(df, ["a", "b"])
-    model = ml.regressors("y", trees=3, depth=3)[1].fit(df)
-    trees = ml.tree_tables(model)
-    base = sum(t["weight"] * t["value"][0] for t in trees)
-    scale = sum(t["weight"] for t in trees)
-    total = {r["id"]: r["s"] for r in ml.attributions(df, model, "id", ["a", "b"], 2).groupBy("id").agg(F.sum("contribution").alias("s")).collect()}
-    for r in model.transform(df).collect():
-        assert (base + total[r["id"]]) / scale == pytest.approx(r["forest"], abs=1e-6)
-
-
 def test_split_size_decides_the_partitions(spark, sf_dir):
     from planforge.sources import io
 
@@ -186,38 +172,108 @@ def C_add(key, n):
     return m // 12 * 100 + m % 12 + 1
 
 
-def test_forecasts_mix_the_regressors_and_the_trend(spark):
+@pytest.fixture
+def small_models(monkeypatch):
+    """The models of plans/scores.py with few and flat trees."""
+    from dataclasses import replace
+
     from planforge.plans import scores as SC
 
-    rng = random.Random(5)
+    for name in ("DEMAND", "DEMAND_LEAVES", "YIELD", "FAILURE"):
+        monkeypatch.setattr(SC, name, replace(getattr(SC, name), trees=8, depth=3, rate=0.3))
+    return SC
+
+
+def test_forecasts_mix_the_trees_and_the_trend(spark, small_models):
+    from planforge.operators import trend as TR
+
+    SC, rng = small_models, random.Random(5)
     old = [50 + i + 20 * math.sin(i * math.pi / 6) + rng.random() for i in range(48)]
     months = months_of(spark, {"OLD": old, "NEW": [0, 4, 0, 0, 6]})
-    got = {(r["site_code"], r["horizon"]): r for r in SC.demand_forecasts(months, 6).collect()}
-    assert len(got) == 12 and {r["month_key"] for r in got.values() if r["site_code"] == "OLD"} == {C_add(199901, 48 + i) for i in range(6)}
+    tables, meta = SC.demand_tables(months)
+    got = {(r["site_code"], r["horizon"]): r for r in tables["forecasts"].collect()}
+    assert len(got) == 2 * SC.HORIZON and {r["month_key"] for r in got.values() if r["site_code"] == "OLD"} == {C_add(199901, 48 + i) for i in range(SC.HORIZON)}
     assert all(got["NEW", h]["method"] == "CROSTON" and got["NEW", h]["forecast"] == pytest.approx(3.5) for h in range(1, 7))
-    rows, names = SC.demand_features(months)
-    models = SC.demand_models(rows)
-    trend = {r["month_key"]: r["trend_forecast"] for r in FC.seasonal_trend(months.where("site_code = 'OLD'"), SC.SITE, 6).collect()}
-    last = rows.where("site_code = 'OLD'").orderBy(F.col("month_key").desc()).limit(1).drop("features")
-    for h in range(1, 7):
-        key = C_add(199901, 47 + h)
-        one = SC.regressed(ml.features(last.withColumn("month_key", F.lit(key)).withColumns(SC.calendar()), names), models).first()
+    # by hand: the features of each step from what was forecast before it
+    models = SC.B.from_table(tables["trees"], meta["features"])
+    trend = {r["horizon"]: r["trend_forecast"] for r in TR.changepoint_forecasts(TR.histories(months.where("site_code = 'OLD'"), SC.SITE), SC.SITE, SC.HORIZON).collect()}
+    known = {"levels": list(old), "leaves": list(old)}
+    for h in range(1, SC.HORIZON + 1):
+        step = {}
+        for name, values in known.items():
+            again = months_of(spark, {"OLD": [*values, 0.0], "NEW": [0, 4, 0, 0, 6]}) if h in (1, 7) else None
+            if again is not None:  # the batch features of the months so far, the forecasts among them
+                features, names = SC.demand_features(again)
+                row = features.where(f"site_code = 'OLD' and month_key = {C_add(199901, 47 + h)}").select(*names).toPandas().to_numpy(float)
+                tail = SC.np.array([values[-12:]], float)
+                direct = SC.demand_table(tail, SC.np.array([1999 * 12 + 48 + h]), row[:, -2:])
+                assert SC.np.allclose(direct, row)
+            x = SC.demand_table(SC.np.array([values[-12:]], float), SC.np.array([1999 * 12 + 48 + h]), SC.np.array([[1.0, 0.0]]))
+            step[name] = max(float(models[name].predict(x)[0]), 0.0)
+            values.append(step[name])
         assert got["OLD", h]["method"] == "ENSEMBLE"
-        assert got["OLD", h]["forecast"] == pytest.approx(0.35 * one["gbt"] + 0.35 * one["forest"] + 0.30 * trend[key], abs=0.006)
-
+        assert got["OLD", h]["forecast"] == pytest.approx(0.35 * trend[h] + 0.35 * step["levels"] + 0.30 * step["leaves"], abs=0.006)
 
-def test_backtest_knows_nothing_of_the_months_it_scores(spark):
-    from planforge.plans import scores as SC
 
+def test_backtest_knows_nothing_of_the_months_it_scores(spark, small_models):
+    SC = small_models
     values = [10.0 + i % 12 for i in range(36)]
-    plain = SC.demand_backtest(months_of(spark, {"A": values, "SHORT": [1.0] * 3})).collect()
-    assert len(plain) == 6 and sorted(r["month_key"] for r in plain if r["site_code"] == "A") == [C_add(199901, 30 + i) for i in range(6)]
-    bent = {r["month_key"]: r["forecast"] for r in SC.demand_backtest(months_of(spark, {"A": values[:-1] + [9999.0], "SHORT": [1.0] * 3})).collect() if r["site_code"] == "A"}
-    assert all(bent[r["month_key"]] == pytest.approx(r["forecast"]) for r in plain if r["site_code"] == "A")
+    series = lambda v: {"A": v, "B": [x + 3 for x in values], "SHORT": [1.0] * 3}
+    backtest = lambda v: {(r["site_code"], r["origin"], r["month_key"]): r["forecast"] for r in SC.demand_tables(months_of(spark, series(v)))[0]["backtest"].collect()}
+    plain = backtest(values)
+    assert sorted(plain) == sorted((s, o, C_add(199901, 36 - o + i)) for s in "AB" for o in SC.ORIGINS for i in range(SC.HOLD_OUT))
+    for origin in SC.ORIGINS:
+        bent = backtest(values[:-origin] + [9999.0 - i for i in range(origin)])  # every month after the origin
+        assert all(bent[k] == pytest.approx(v) for k, v in plain.items() if k[1] == origin)
     score = SC.demand_accuracy(spark.createDataFrame([("A", "F", 1, 10.0, 12.0), ("A", "F", 2, 0.0, 1.0)], "site_code string, product_family string, month_key int, demand_qty double, forecast double")).first()
     assert (score["mape"], score["mae"], score["rmse"], score["n"]) == (20.0, 1.5, 1.58, 2)
 
 
+def test_store_publishes_whole_versions(spark, tmp_path):
+    from planforge.sources.store import Store, fingerprint
+
+    at, one = Store(spark, f"file://{tmp_path}/store"), spark.createDataFrame([(1,)], "x int")
+    assert at.current("m") is None and at.metadata("m") is None and at.versions("m") == []
+    first = at.publish("m", {"t": one}, {"source": "a"})
+    with pytest.raises(Exception, match="boom"):
+        at.publish("m", {"t": one, "u": one.select(F.raise_error(F.lit("boom")).cast("int").alias("x"))}, {"source": "b"})
+    assert at.current("m") == first and at.table("m", "t").collect() == one.collect()
+    built = []
+    build = lambda: (built.append(1), ({"t": one.union(one)}, {"n": 2}))[1]
+    assert at.fresh("m", "a", build) == first and not built
+    second = at.fresh("m", "c", build)
+    assert at.fresh("m", "c", build) == second and len(built) == 1 and at.metadata("m")["n"] == 2
+    assert at.table("m", "t").count() == 2 and at.table("m", "t", first).count() == 1
+    at.prune("m")
+    assert at.versions("m") == [second]
+    path = f"file://{tmp_path}/data"
+    one.write.parquet(path)
+    before = fingerprint(spark, [path])
+    one.write.mode("append").parquet(path)
+    assert before != fingerprint(spark, [path])
+
+
+def test_models_are_fitted_once_and_read(spark, sf_dir, small_models, monkeypatch):
+    SC, fits = small_models, []
+    fit = SC.B.fit
+    monkeypatch.setattr(SC.B, "fit", lambda *a, **k: (fits.append(1), fit(*a, **k))[1])
+    monkeypatch.setattr(SC.store, "of_data", lambda spark, sf, root=SC.io.scratch(spark, "store-test"): SC.store.Store(spark, root))
+    scores = SC.failures(spark, sf_dir)("scores")
+    assert len(fits) == 1 and scores.count() > 0 and SC.failures(spark, sf_dir)("folds").count() == SC.FOLDS and len(fits) == 1
+    folds = SC.yields(spark, sf_dir)("folds").toPandas()
+    assert sorted(folds["fold"]) == list(range(SC.FOLDS)) and (folds["mae"] < 0.5).all()
+    every = SC.yields(spark, sf_dir)("scores")
+    parts = SC.yield_attributions(spark, sf_dir)
+    assert len(fits) == 2 and parts.count() == 10 * every.count()
+    # few trees use few features, so the ten largest are all of them
+    model = SC.B.from_table(SC.yields(spark, sf_dir)("trees"), SC.store.of_data(spark, sf_dir).metadata("yield")["features"])["whole"]
+    mean = SC.shapley.mean_margin(model)
+    both = parts.groupBy("feat_pk").agg(F.sum("contribution").alias("s")).join(every, "feat_pk").select("s", "predicted_yield").toPandas()
+    used = len({f for f in model.feature.ravel() if f >= 0})
+    if used <= 10:
+        assert SC.np.allclose(SC.np.clip(both["s"] + mean, 0, 1), both["predicted_yield"])
+
+
 def test_reads_of_model_tables(spark):
     from planforge.plans import functions as T
 

@@ -35,8 +35,22 @@ def test_matches_sql(name, spark, sf_dir, duck):
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in cursor.fetchall())
 
 
+@pytest.fixture(scope="module")
+def few_trees():
+    """The registered queries with few trees: what they are made of is tested in test_boosting.py and test_operators.py."""
+    from dataclasses import replace
+
+    from planforge.plans import scores as SC
+
+    patch = pytest.MonkeyPatch()
+    for name in ("DEMAND", "DEMAND_LEAVES", "YIELD", "FAILURE"):
+        patch.setattr(SC, name, replace(getattr(SC, name), trees=10, depth=3, rate=0.3))
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(name, spark, sf_dir):
+def test_runs(name, spark, sf_dir, few_trees):
     df = QUERIES[name](spark, sf_dir)
     site = {"m7_adjusted_capacity": 5}.get(name)  # a read of one site is empty where no supplier is there
     present = site is None or spark.read.parquet(f"{sf_dir}/supplier.parquet").where(f"s_nationkey = {site}").count() > 0
