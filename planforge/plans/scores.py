@@ -80,11 +80,15 @@ def _described(params: dict[str, B.Params], names: list[str], **more) -> dict:
     return {"features": names, "params": {k: asdict(p) for k, p in params.items()}} | more
 
 
-def _stored(spark: SparkSession, sf: str, name: str, build: Callable[[], tuple[dict[str, DataFrame], dict]]) -> Callable[[str], DataFrame]:
-    """Reads tables of an entry, which is fitted first where there is none of the present tables."""
+#: Part of what an entry is built from: raised when a change here or in the operators changes what is stored.
+VERSION = 1
+
+
+def stored(spark: SparkSession, sf: str, name: str, settings: tuple, build: Callable[[], tuple[dict[str, DataFrame], dict]]) -> Callable[[str], DataFrame]:
+    """Reads tables of an entry, which is built first where there is none of the present tables with the same settings."""
     at = store.of_data(spark, sf)
-    source = store.fingerprint(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region", "events")])
-    version = at.fresh(name, source, build)
+    files = store.fingerprint(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "part", "supplier", "customer", "nation", "region", "events")])
+    version = at.fresh(name, f"{VERSION} {settings!r} {files}", build)
     return lambda table: at.table(name, table, version)
 
 
@@ -224,7 +228,7 @@ def demand_tables(months: DataFrame) -> tuple[dict[str, DataFrame], dict]:
 
 def demand(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
     """fitted, forecasts, backtest, features and trees."""
-    return _stored(spark, sf, "demand", lambda: demand_tables(site_months(spark, sf)))
+    return stored(spark, sf, "demand", (DEMAND, DEMAND_LEAVES, ORIGINS, HOLD_OUT, HORIZON), lambda: demand_tables(site_months(spark, sf)))
 
 
 # yield
@@ -238,27 +242,40 @@ def yield_features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
 
 
 def yield_tables(rows: DataFrame, names: list[str]) -> tuple[dict[str, DataFrame], dict]:
-    """Scores by the model of all rows, and errors of FOLDS models that know only the months before their fold."""
-    spark = rows.sparkSession
+    """Features and scores by the model of all rows."""
+    model = B.fit(rows.withColumn("whole", F.lit(True)), ["feat_pk"], names, "target_yield", {"whole": ("whole", YIELD)})
+    scored = B.scored(rows, {"predicted_yield": model["whole"]}, names).withColumn("predicted_yield", C.clip(F.col("predicted_yield"), 0.0, 1.0))
+    scored = scored.withColumns(ml.residuals(F.col("target_yield"), F.col("predicted_yield")))
+    return {"scores": scored, "trees": B.as_table(rows.sparkSession, model, names)}, _described({"whole": YIELD}, names, target="target_yield")
+
+
+def yield_folds(rows: DataFrame, names: list[str]) -> DataFrame:
+    """fold, mae, r2, n of FOLDS models that know only the months before their fold, fitted side by side."""
     months = [r["month_key"] for r in rows.select("month_key").distinct().orderBy("month_key").collect()]  # months of the table
-    cuts = [months[len(months) * i // (FOLDS + 1)] for i in range(1, FOLDS + 1)] + [10**6]
-    uses = {f"fold_{i}": F.col("month_key") < cuts[i] for i in range(FOLDS)} | {"whole": F.lit(True)}
+    cuts = [months[len(months) * i // (FOLDS + 1)] for i in range(1, FOLDS + 1)]
+    uses = {f"fold_{i}": F.col("month_key") < cuts[i] for i in range(FOLDS)}
     models = B.fit(rows.withColumns(uses), ["feat_pk"], names, "target_yield", {u: (u, YIELD) for u in uses})
-    scored = B.scored(rows, models, names).withColumns({u: C.clip(F.col(u), 0.0, 1.0) for u in uses}).withColumn("predicted_yield", F.col("whole"))
-    scored = _written(scored.withColumns(ml.residuals(F.col("target_yield"), F.col("predicted_yield"))), "yield-scores")
-    fold = F.when(F.col("month_key") >= cuts[0], F.array_size(F.filter(F.lit(cuts[:FOLDS]), lambda c: c <= F.col("month_key"))) - 1)
-    unseen = F.element_at(F.array(*[F.col(f"fold_{i}") for i in range(FOLDS)]), F.col("fold") + 1)
-    folds = scored.withColumn("fold", fold).where("fold is not null").withColumn("error", unseen - F.col("target_yield"))
+    fold = F.array_size(F.filter(F.lit(cuts), lambda c: c <= F.col("month_key")))  # from 1
+    scored = B.scored(rows.where(F.col("month_key") >= cuts[0]), models, names).withColumn("fold", fold - 1)
+    unseen = C.clip(F.element_at(F.array(*[F.col(u) for u in uses]), fold), 0.0, 1.0)
+    scored = scored.withColumn("error", unseen - F.col("target_yield"))
     spread = F.sum("target_yield") * F.avg("target_yield")
     r2 = 1 - F.try_divide(F.sum(F.col("error") ** 2), F.sum(F.col("target_yield") ** 2) - spread)
-    folds = folds.groupBy("fold").agg(F.avg(F.abs("error")).alias("mae"), r2.alias("r2"), F.count("*").alias("n"))
-    tables = {"scores": scored.drop(*uses), "folds": folds, "trees": B.as_table(spark, {"whole": models["whole"]}, names)}
-    return tables, _described({"whole": YIELD}, names, target="target_yield")
+    return scored.groupBy("fold").agg(F.avg(F.abs("error")).alias("mae"), r2.alias("r2"), F.count("*").alias("n"))
 
 
 def yields(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
-    """scores, folds and trees."""
-    return _stored(spark, sf, "yield", lambda: yield_tables(*yield_features(spark, sf)))
+    """scores and trees."""
+    return stored(spark, sf, "yield", (YIELD,), lambda: yield_tables(*yield_features(spark, sf)))
+
+
+def yield_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
+    def build() -> tuple[dict[str, DataFrame], dict]:
+        scores = yields(spark, sf)("scores")
+        names = store.of_data(spark, sf).metadata("yield")["features"]
+        return {"folds": yield_folds(scores, names)}, {"features": names}
+
+    return stored(spark, sf, "yield-folds", (YIELD, FOLDS), build)("folds")
 
 
 def yield_attributions(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,7 +288,7 @@ def yield_attributions(spark: SparkSession, sf: str) -> DataFrame:
         scores = read("scores")
         return {"attributions": shapley.attributions(scores.repartition(max(1, scores.count() // 4096)), model, "feat_pk", names, 10)}, {"features": names}
 
-    return _stored(spark, sf, "yield-attributions", build)("attributions")
+    return stored(spark, sf, "yield-attributions", (YIELD,), build)("attributions")
 
 
 # failure
@@ -306,7 +323,7 @@ def failure_tables(rows: DataFrame, names: list[str]) -> tuple[dict[str, DataFra
 
 def failures(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
     """scores, folds and trees."""
-    return _stored(spark, sf, "failure", lambda: failure_tables(*failure_features(spark, sf)))
+    return stored(spark, sf, "failure", (FAILURE, FOLDS, FAILING_OEE, AHEAD), lambda: failure_tables(*failure_features(spark, sf)))
 
 
 # anomalies
@@ -314,7 +331,7 @@ def failures(spark: SparkSession, sf: str) -> Callable[[str], DataFrame]:
 
 def anomaly_scores(spark: SparkSession, sf: str, trees: int = 200) -> DataFrame:
     """site_code, test_type, month_key, oee, score (lower: odder), is_anomaly, pct, severity, from the store."""
-    return _stored(spark, sf, "anomaly", lambda: ({"scores": _anomaly_scores(spark, sf, trees)}, {"trees": trees}))("scores")
+    return stored(spark, sf, "anomaly", (trees,), lambda: ({"scores": _anomaly_scores(spark, sf, trees)}, {"trees": trees}))("scores")
 
 
 def _anomaly_scores(spark: SparkSession, sf: str, trees: int) -> DataFrame:

@@ -12,6 +12,7 @@ from planforge.operators import ml
 from planforge.operators import risk as RK
 from planforge.operators import trend as TR
 from planforge.operators.capacity import with_predicted_yield
+from planforge.operators.quantiles import exact_quantiles
 from planforge.plans import adapters as A
 from planforge.plans import chains, serving
 from planforge.plans import functions as T
@@ -108,7 +109,7 @@ def l9_yield_model(spark, sf):
 
 @query()
 def l9_yield_folds(spark, sf):
-    return SC.yields(spark, sf)("folds")
+    return SC.yield_fold_scores(spark, sf)
 
 
 @query()
@@ -186,7 +187,7 @@ def f11_beta_moments(spark, sf):
     return rounded(RK.beta_moments(A.fact(spark, sf), ["factory_code", "test_type"], "yield_avg"), 4)
 
 
-_TRI = "SELECT site_code, greatest(min(oee) - 0.02, 0.01) AS low, max(oee) AS top, least(max(oee) + 0.02, 1.0) AS high FROM oee_site GROUP BY 1"
+_TRI = "SELECT site_code, greatest(min(oee) - 0.05, 0.01) AS low, max(oee) AS top, least(max(oee) + 0.05, 1.0) AS high FROM oee_site GROUP BY 1"
 _MODE = "SELECT site_code, mode FROM (SELECT site_code, round(oee + 1e-9, 2) AS mode, count(*) AS n FROM oee_site GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY site_code ORDER BY n DESC, mode) = 1"
 _TRI_VIEWS = _OEE_SITE | {"tri_ends": _TRI, "tri_mode": _MODE}
 
@@ -207,53 +208,118 @@ def _lcg(stream: int) -> str:
     return f"((CAST({x} AS DOUBLE) + 0.5::DOUBLE) / 2147483647.0::DOUBLE)"
 
 
-_COMBOS = """SELECT t.site_code, t.test_type, n.n_nationkey * 10 + t.tt AS combo_no, mean, coalesce(std, 0.0) AS std, 30.0::DOUBLE AS unit_supply, f.low, g.mode, f.high FROM (
-    SELECT site_code, test_type, ascii(test_type) % 7 + CASE WHEN test_type LIKE '%F' THEN 0 ELSE 3 END AS tt, avg(demand_qty) AS mean, stddev_samp(demand_qty) AS std FROM monthly GROUP BY 1, 2) t JOIN nation n ON n.n_name = t.site_code
-    JOIN (SELECT site_code, round(low + 1e-9, 6) AS low, round(high + 1e-9, 6) AS high FROM tri_ends) f ON f.site_code = t.site_code JOIN tri_mode g ON g.site_code = t.site_code"""
-_NEEDS = f"""SELECT *, CAST(ceil(demand / (unit_supply * least(1.0::DOUBLE, greatest(0.05::DOUBLE, CASE WHEN high <= low THEN low WHEN u < (mode - low) / (high - low) THEN low + sqrt(u * (high - low) * (mode - low)) ELSE high - sqrt((1 - u) * (high - low) * (high - mode)) END)))) AS BIGINT) AS need FROM (
-    SELECT *, {_lcg(5)} AS u, greatest(0, mean + std * sqrt(-2 * ln({_lcg(1)})) * cos(2 * 3.141592653589793::DOUBLE * {_lcg(2)})) AS demand FROM combos CROSS JOIN range(1, {DRAWS + 1}) d(draw))"""
-_SIZES = f"SELECT site_code, test_type, {R('quantile_cont(need, 0.5)', 4)} AS p50_need, {R('quantile_cont(need, 0.8)', 4)} AS p80_need, {R('quantile_cont(need, 0.95)', 4)} AS p95_need, {R('avg(need)', 4)} AS mean_need, count(*) AS draws FROM needs GROUP BY 1, 2"
-_CASES = """SELECT z.site_code, z.test_type, scenario, threshold, sum(CASE WHEN need <= threshold THEN 1 ELSE 0 END) / count(*) AS probability_sufficient FROM (SELECT site_code, test_type, unnest(['CONSERVATIVE', 'BALANCED', 'LEAN']) AS scenario, unnest([p95_need, p80_need, p50_need]) AS threshold FROM sizes) z
-    JOIN needs USING (site_code, test_type) GROUP BY 1, 2, 3, 4"""
-_MC = _TRI_VIEWS | {"combos": _COMBOS, "needs": _NEEDS, "sizes": _SIZES, "cases": _CASES}
+_PARAMETERS = {"handling_time_sec": "handling_time_sec", "target_test_time_sec": "target_test_time_sec", "utilization_rate": "utilization_rate", "shifts": "shifts_per_day_normal", "working_days": "working_days_normal", "hours": "hours_per_shift_normal", "allowance": "allowance_pct", "productivity": "productivity_pct", "current_equipment_qty": "equip_qty_available", "target_yield": "target_yield"}
+_MEDIANS = "SELECT site_code, test_type, " + ", ".join(f"{R(f'median({c})')} AS {name}" for name, c in _PARAMETERS.items()) + " FROM base GROUP BY 1, 2"
+_SITE_DEMAND = f"SELECT site_code, {R('max(mean)')} AS demand_mean, {R('avg(cv)')} AS demand_cv FROM (SELECT site_code, product_family, test_type, avg(demand_qty) AS mean, coalesce(stddev_samp(demand_qty) / nullif(avg(demand_qty), 0), 0.15) AS cv FROM monthly GROUP BY 1, 2, 3) GROUP BY 1"
+_TYPE_YIELD = f"""SELECT test_type, {R('CASE WHEN n < 5 THEN 5.0 ELSE greatest(m * s, 0.5) END', 4)} AS alpha, {R('CASE WHEN n < 5 THEN 1.0 ELSE greatest((1 - m) * s, 0.5) END', 4)} AS beta FROM (SELECT *, m * (1 - m) / v - 1 AS s FROM (
+    SELECT test_type, avg(y) AS m, var_pop(y) + 1e-8 AS v, count(*) AS n FROM (SELECT test_type, least(0.999::DOUBLE, greatest(0.01::DOUBLE, target_yield)) AS y FROM monthly WHERE target_yield IS NOT NULL) GROUP BY 1))"""
+_COMBOS = f"""SELECT p.* REPLACE (coalesce(p.target_yield, 0.85::DOUBLE) AS target_yield, coalesce(allowance, 0.1::DOUBLE) AS allowance, coalesce(productivity, 0.95::DOUBLE) AS productivity), n.n_nationkey * 10 + ascii(p.test_type) % 7 + CASE WHEN p.test_type LIKE '%F' THEN 0 ELSE 3 END AS combo_no,
+    coalesce(demand_mean, 500.0::DOUBLE) AS demand_mean, coalesce(demand_cv, 0.15::DOUBLE) AS demand_cv, coalesce(alpha, 5.0::DOUBLE) AS alpha, coalesce(beta, 1.0::DOUBLE) AS beta, coalesce(round(f.low + 1e-9, 6), 0.65::DOUBLE) AS low, coalesce(g.mode, 0.8::DOUBLE) AS mode, coalesce(round(f.high + 1e-9, 6), 0.95::DOUBLE) AS high
+    FROM medians p JOIN nation n ON n.n_name = p.site_code LEFT JOIN site_demand d USING (site_code) LEFT JOIN type_yield y USING (test_type) LEFT JOIN tri_ends f USING (site_code) LEFT JOIN tri_mode g USING (site_code)"""
+
+
+def _needs(y: str, source: str) -> str:
+    oee = "least(1.0::DOUBLE, greatest(0.01::DOUBLE, CASE WHEN high <= low THEN low WHEN u < (mode - low) / (high - low) THEN low + sqrt(u * (high - low) * (mode - low)) ELSE high - sqrt((1 - u) * (high - low) * (high - mode)) END))"
+    step1 = f"((handling_time_sec + target_test_time_sec) * (1 + (1 - {y}) * 2.0::DOUBLE * 0.75::DOUBLE))"
+    supply = f"greatest(1e-6::DOUBLE, hours * 3600 * (1 - allowance) * productivity / ({step1} / {oee}) * (working_days * shifts))"
+    draws = f"SELECT *, {_lcg(5)} AS u, {_lcg(6)} AS v, greatest(0, demand_mean + demand_mean * demand_cv * (sqrt(-2 * ln({_lcg(1)})) * cos(2 * 3.141592653589793::DOUBLE * {_lcg(2)}))) AS demand FROM combos CROSS JOIN range(1, {DRAWS + 1}) d(draw)"
+    return f"SELECT *, CAST(ceil(demand / {supply}) AS BIGINT) AS need FROM ({draws}) {source}"
+
+
+_SIZED = "SELECT site_code, test_type, {0} AS p50_need, {1} AS p80_need, {2} AS p95_need, {3} AS mean_need, count(*) AS draws FROM ".format(*[R(e, 4) for e in ("quantile_cont(need, 0.5)", "quantile_cont(need, 0.8)", "quantile_cont(need, 0.95)", "avg(need)")])
+_COST = "CASE WHEN test_type LIKE 'A%' THEN 250000.0::DOUBLE ELSE 120000.0::DOUBLE END"
+_SPEND = f"SELECT s.*, current_equipment_qty, {_COST} AS equipment_unit_cost_usd, demand_mean, greatest(p80_need - current_equipment_qty, 0) AS delta_units_p80, round(greatest(p80_need - current_equipment_qty, 0) * {_COST}) AS capex_usd_p80 FROM sizes s JOIN combos c USING (site_code, test_type)"
+_CASES = f"""SELECT z.site_code, z.test_type, scenario, threshold, {R('sum(CASE WHEN need <= threshold THEN 1 ELSE 0 END) / count(*)', 5)} AS probability_sufficient, round(greatest(threshold - max(current_equipment_qty), 0) * max({_COST.replace('test_type', 'z.test_type')})) AS capex_usd
+    FROM (SELECT site_code, test_type, unnest(['CONSERVATIVE', 'BALANCED', 'LEAN']) AS scenario, unnest([p95_need, p80_need, p50_need]) AS threshold FROM sizes) z JOIN needs USING (site_code, test_type) GROUP BY 1, 2, 3, 4"""
+_GRID = f"""SELECT test_type, i, CAST(round(exp(l - max(l) OVER (PARTITION BY test_type)) * 1e9) AS BIGINT) AS w FROM (SELECT test_type, i, (alpha - 1) * ln((i + 0.5::DOUBLE) / {RK.CELLS}.0::DOUBLE) + (beta - 1) * ln(1 - (i + 0.5::DOUBLE) / {RK.CELLS}.0::DOUBLE) AS l
+    FROM (SELECT DISTINCT test_type, alpha, beta FROM combos) CROSS JOIN range(0, {RK.CELLS}) g(i))"""
+_LEVELS = f"""SELECT test_type, k, min((i + 0.5::DOUBLE) / {RK.CELLS}.0::DOUBLE) AS y FROM (SELECT *, sum(w) OVER (PARTITION BY test_type ORDER BY i) AS upto, sum(w) OVER (PARTITION BY test_type) AS total FROM grid) CROSS JOIN range(0, {RK.LEVELS}) r(k)
+    WHERE 2 * {RK.LEVELS} * upto >= (2 * k + 1) * total GROUP BY 1, 2"""
+_MC = _TRI_VIEWS | {"medians": _MEDIANS, "site_demand": _SITE_DEMAND, "type_yield": _TYPE_YIELD, "combos": _COMBOS, "needs": _needs("target_yield", ""), "sizes": _SIZED + "needs GROUP BY 1, 2", "cases": _CASES, "spend": _SPEND}
+_MC_SAMPLED = _MC | {"grid": _GRID, "levels": _LEVELS, "sampled": _needs("y", f"JOIN levels USING (test_type) WHERE levels.k = least({RK.LEVELS - 1}, CAST(floor(v * {RK.LEVELS}) AS BIGINT))")}
 
 
 def _combos(spark, sf):
-    """Demand of a site and test type with its spread, and the site's fitted availability; what a unit supplies is a parameter."""
-    t = A.monthly(spark, sf).groupBy("site_code", "test_type").agg(F.avg("demand_qty").alias("mean"), F.coalesce(F.stddev_samp("demand_qty"), F.lit(0.0)).alias("std"))
-    code = F.ascii("test_type") % 7 + F.when(F.col("test_type").endswith("F"), 0).otherwise(3)
-    t = t.join(F.broadcast(A.sites(spark, sf).select("site_code", "nation_key")), "site_code").withColumn("combo_no", (F.col("nation_key") * 10 + code).cast("bigint")).drop("nation_key")
+    """What the simulation takes for each site and test type: medians of the planning base, demand and availability of the site, the yield of the test type."""
     fits = RK.triangular_fit(_oee_site(spark, sf), ["site_code"], "oee").select("site_code", r("low").alias("low"), "mode", r("high").alias("high"))
-    return t.join(fits, "site_code").withColumn("unit_supply", F.lit(30.0))
+    per = RK.demand_uncertainty(A.monthly(spark, sf), SERIES).groupBy("site_code").agg(r(F.max("demand_mean")).alias("demand_mean"), r(F.avg("demand_cv")).alias("demand_cv"))
+    y = A.monthly(spark, sf).where("target_yield is not null").select("test_type", C.clip(F.col("target_yield"), 0.01, 0.999).alias("y"))
+    beta = rounded(RK.beta_moments(y, ["test_type"], "y"), 4).drop("n")
+    out = RK.simulation_inputs(_medians(spark, sf), per, beta, fits)
+    code = F.ascii("test_type") % 7 + F.when(F.col("test_type").endswith("F"), 0).otherwise(3)
+    return out.join(F.broadcast(A.sites(spark, sf).select("site_code", "nation_key")), "site_code").withColumn("combo_no", (F.col("nation_key") * 10 + code).cast("bigint")).drop("nation_key")
+
+
+def _medians(spark, sf):
+    keys = ["site_code", "test_type"]
+    needed = chains.base(spark, sf).select(*keys, *_PARAMETERS.values())
+    return rounded(exact_quantiles(needed, keys, {name: (c, 0.5) for name, c in _PARAMETERS.items()}))
+
+
+def _simulation(spark, sf):
+    """Tables of the simulation, run once for the present tables: inputs, and how many draws have each need."""
+
+    def build():
+        inputs = io.overwrite(_combos(spark, sf), io.scratch(spark, "simulation-inputs"))
+        counts = RK.need_counts(RK.monte_carlo_need(inputs, DRAWS), ["site_code", "test_type"])
+        levels = RK.beta_levels(inputs.select("test_type", "alpha", "beta").distinct(), ["test_type"])
+        sampled = RK.need_counts(RK.monte_carlo_need(inputs, DRAWS, levels), ["site_code", "test_type"])
+        return {"inputs": inputs, "counts": counts, "sampled": sampled}, {"draws": DRAWS}
+
+    return SC.stored(spark, sf, "simulation", (DRAWS, RK.DEFAULTS, RK.LEVELS, RK.CELLS), build)
+
+
+def _sizes(spark, sf, counts="counts"):
+    return rounded(RK.size_summary(_simulation(spark, sf)(counts), ["site_code", "test_type"]), 4)
 
 
-def _counts(spark, sf):
-    """The simulation, run once: draws by need."""
-    return io.overwrite(RK.need_counts(RK.monte_carlo_need(_combos(spark, sf), DRAWS), ["site_code", "test_type"]), io.scratch(spark, "needs"))
+def _unit_cost():
+    return F.when(F.col("test_type").startswith("A"), 250000.0).otherwise(120000.0)
 
 
-def _sizes(spark, sf, counts=None):
-    return rounded(RK.size_summary(counts or _counts(spark, sf), ["site_code", "test_type"]), 4)
+def _spend(spark, sf):
+    current = _simulation(spark, sf)("inputs").select("site_code", "test_type", "current_equipment_qty", "demand_mean")
+    return RK.investment(_sizes(spark, sf), current, ["site_code", "test_type"], _unit_cost())
 
 
 def _cases(spark, sf):
-    counts = _counts(spark, sf)
-    return RK.scenarios(counts, _sizes(spark, sf, counts), ["site_code", "test_type"])
+    keys, read = ["site_code", "test_type"], _simulation(spark, sf)
+    out = RK.scenarios(read("counts"), _sizes(spark, sf), keys).join(read("inputs").select(*keys, "current_equipment_qty"), keys)
+    capex = F.round(F.greatest(F.col("threshold") - F.col("current_equipment_qty"), F.lit(0.0)) * _unit_cost())
+    return out.select(*keys, "scenario", "threshold", r("probability_sufficient", 5).alias("probability_sufficient"), capex.alias("capex_usd"))
+
+
+@query(_MEDIANS)
+def f13_parameter_medians(spark, sf):
+    return _medians(spark, sf)
+
+
+_INPUTS = [*_PARAMETERS, "combo_no", "demand_mean", "demand_cv", "alpha", "beta", "low", "mode", "high"]
+
+
+@query(f"SELECT site_code, test_type, {', '.join(_INPUTS)} FROM combos", _MC)
+def e14_simulation_inputs(spark, sf):
+    return _simulation(spark, sf)("inputs").select("site_code", "test_type", *_INPUTS)
 
 
 @query("SELECT site_code, test_type, CAST(draw AS INTEGER) AS draw, need FROM needs", _MC)
 def l18_monte_carlo(spark, sf):
-    return RK.monte_carlo_need(_combos(spark, sf), DRAWS).select("site_code", "test_type", "draw", "need")
+    return RK.monte_carlo_need(_simulation(spark, sf)("inputs"), DRAWS).select("site_code", "test_type", "draw", "need")
 
 
-@query("SELECT * FROM sizes", _MC)
+@query(_SIZED + "sampled GROUP BY 1, 2", _MC_SAMPLED)
+def l18_sampled_yield(spark, sf):
+    return _sizes(spark, sf, "sampled")
+
+
+@query("SELECT * FROM spend", _MC)
 def l19_size_summary(spark, sf):
-    return _sizes(spark, sf)
+    return _spend(spark, sf)
 
 
-@query(f"SELECT site_code, test_type, scenario, threshold, {R('probability_sufficient', 5)} AS probability_sufficient FROM cases", _MC)
+@query("SELECT * FROM cases", _MC)
 def l20_scenarios(spark, sf):
-    return _cases(spark, sf).withColumn("probability_sufficient", r("probability_sufficient", 5))
+    return _cases(spark, sf)
 
 
 @query()
@@ -340,28 +406,19 @@ def m11_forecast_accuracy(spark, sf):
     return T.forecast_accuracy(SC.demand_accuracy(SC.demand(spark, sf)("backtest")), site="nation_3")
 
 
-_SPEND = "SELECT *, greatest(0, ceil(p80_need) - 2) * CASE WHEN test_type LIKE 'A%' THEN 250000 ELSE 120000 END AS p80_spend FROM sizes"
-
-
-def _spend(spark, sf):
-    cost = F.when(F.col("test_type").startswith("A"), 250000).otherwise(120000)
-    return _sizes(spark, sf).withColumn("p80_spend", (F.greatest(F.ceil("p80_need") - 2, F.lit(0)) * cost).cast("double"))
-
-
-@query("SELECT * REPLACE (CAST(p80_spend AS DOUBLE) AS p80_spend) FROM spend ORDER BY p80_spend DESC, site_code, test_type LIMIT 60", _MC | {"spend": _SPEND})
+@query("SELECT * FROM spend ORDER BY capex_usd_p80 DESC, site_code, test_type LIMIT 60", _MC)
 def m12_capex_recommendation(spark, sf):
     return T.capex_recommendation(_spend(spark, sf), limit=60)
 
 
-@query("SELECT CAST(sum(p80_spend) AS DOUBLE) AS total_p80_spend, count(*) FILTER (WHERE p80_spend > 0) AS combos FROM spend", _MC | {"spend": _SPEND})
+@query("SELECT sum(capex_usd_p80) AS total_p80_spend, count(*) FILTER (WHERE delta_units_p80 > 0) AS combos FROM spend", _MC)
 def f21_capex_total(spark, sf):
-    return _spend(spark, sf).agg(F.sum("p80_spend").alias("total_p80_spend"), F.count_if(F.col("p80_spend") > 0).alias("combos"))
+    return _spend(spark, sf).agg(F.sum("capex_usd_p80").alias("total_p80_spend"), F.count_if(F.col("delta_units_p80") > 0).alias("combos"))
 
 
-@query(f"SELECT site_code, test_type, scenario, threshold, {R('probability_sufficient', 5)} AS probability_sufficient FROM cases ORDER BY site_code, test_type, CASE scenario WHEN 'CONSERVATIVE' THEN 1 WHEN 'BALANCED' THEN 2 ELSE 3 END LIMIT 90", _MC)
+@query("SELECT * FROM cases ORDER BY site_code, test_type, CASE scenario WHEN 'CONSERVATIVE' THEN 1 WHEN 'BALANCED' THEN 2 ELSE 3 END LIMIT 90", _MC)
 def m13_capex_scenarios(spark, sf):
-    out = T.capex_scenarios(_cases(spark, sf), limit=90)
-    return out.withColumn("probability_sufficient", r("probability_sufficient", 5))
+    return T.capex_scenarios(_cases(spark, sf), limit=90)
 
 
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 20")

@@ -260,11 +260,11 @@ def test_models_are_fitted_once_and_read(spark, sf_dir, small_models, monkeypatc
     monkeypatch.setattr(SC.store, "of_data", lambda spark, sf, root=SC.io.scratch(spark, "store-test"): SC.store.Store(spark, root))
     scores = SC.failures(spark, sf_dir)("scores")
     assert len(fits) == 1 and scores.count() > 0 and SC.failures(spark, sf_dir)("folds").count() == SC.FOLDS and len(fits) == 1
-    folds = SC.yields(spark, sf_dir)("folds").toPandas()
+    folds = SC.yield_fold_scores(spark, sf_dir).toPandas()
     assert sorted(folds["fold"]) == list(range(SC.FOLDS)) and (folds["mae"] < 0.5).all()
     every = SC.yields(spark, sf_dir)("scores")
     parts = SC.yield_attributions(spark, sf_dir)
-    assert len(fits) == 2 and parts.count() == 10 * every.count()
+    assert len(fits) == 3 and parts.count() == 10 * every.count()
     # few trees use few features, so the ten largest are all of them
     model = SC.B.from_table(SC.yields(spark, sf_dir)("trees"), SC.store.of_data(spark, sf_dir).metadata("yield")["features"])["whole"]
     mean = SC.shapley.mean_margin(model)
@@ -291,3 +291,59 @@ def test_reads_of_model_tables(spark):
     assert [r["product_family"] for r in T.forecast_accuracy(errors, site="s1").collect()] == ["H", "F", "G"]
     both = T.accuracy_summary(errors).first()
     assert (both["median_error"], both["upper_median_error"]) == (2.0, 2.0)
+
+
+def test_exact_quantiles_of_counts(spark):
+    from planforge.operators.quantiles import exact_quantiles
+
+    rng = random.Random(9)
+    groups = {"one": [3.5], "two": [1.0, 2.0], "ties": [5.0] * 50 + [7.0] * 3, "nulls": [None, 4.0, None], "none": [None], "many": [rng.choice([rng.random(), 0.5]) for _ in range(400)]}
+    rows = [(k, v, None if v is None else -v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "k string, a double, b double").repartition(5)
+    shares = {"m": ("a", 0.5), "p80": ("a", 0.8), "low": ("b", 0.0), "top": ("b", 1.0)}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], shares).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        kept = [v for v in vs if v is not None]
+        for name, (c, share) in shares.items():
+            want = None
+            if kept:
+                ordered = sorted(kept if c == "a" else [-v for v in kept])
+                at = share * (len(ordered) - 1)
+                want = ordered[math.floor(at)] + (ordered[math.ceil(at)] - ordered[math.floor(at)]) * (at - math.floor(at))
+            assert got[k][name] == pytest.approx(want) if want is not None else got[k][name] is None
+
+
+def test_beta_levels_are_the_inverse_distribution(spark):
+    from planforge.operators import risk as RK
+
+    fits = spark.createDataFrame([("U", 1.0, 1.0), ("S", 2.0, 1.0), ("H", 40.0, 4.0), ("B", 0.5, 0.5)], "t string, alpha double, beta double")
+    rows = RK.beta_levels(fits, ["t"]).collect()
+    by = {t: [r["y"] for r in sorted((r for r in rows if r["t"] == t), key=lambda r: r["k"])] for t in "USHB"}
+    assert all(len(v) == RK.LEVELS and v == sorted(v) for v in by.values())
+    for k in range(0, RK.LEVELS, 37):
+        u = (k + 0.5) / RK.LEVELS
+        assert by["U"][k] == pytest.approx(u, abs=2 / RK.CELLS) and by["S"][k] == pytest.approx(u**0.5, abs=2 / RK.CELLS)
+        assert by["B"][k] == pytest.approx(math.sin(math.pi * u / 2) ** 2, abs=0.02)
+    mean = sum(by["H"]) / RK.LEVELS
+    assert mean == pytest.approx(40 / 44, abs=1e-3)
+    assert sum((y - mean) ** 2 for y in by["H"]) / RK.LEVELS == pytest.approx(40 * 4 / (44**2 * 45), rel=0.02)
+
+
+def test_draws_follow_the_steps(spark):
+    """Each draw by hand; no spread gives the need of the capacity steps."""
+    from planforge.operators import risk as RK
+
+    row = ("S", "AF", 7, 10.0, 50.0, 0.9, 8.0, 20.0, 2.0, 0.1, 0.95, 900.0, 0.0, 0.8, 0.8, 0.8)
+    names = "site_code string, test_type string, combo_no long, handling_time_sec double, target_test_time_sec double, target_yield double, hours double, working_days double, shifts double, allowance double, productivity double, demand_mean double, demand_cv double, low double, mode double, high double"
+    combos = spark.createDataFrame([row], names)
+    step1 = 60.0 * (1 + 0.1 * 2 * 0.75)
+    supply = 8.0 * 3600 * 0.9 * 0.95 / (step1 / 0.8) * 40
+    assert {r["need"] for r in RK.monte_carlo_need(combos, 20).collect()} == {math.ceil(900 / supply)}
+    levels = RK.beta_levels(spark.createDataFrame([("AF", 5.0, 1.0)], "test_type string, alpha double, beta double"), ["test_type"])
+    wide = combos.withColumns({"demand_cv": F.lit(0.5), "demand_mean": F.lit(90000.0), "low": F.lit(0.5)})
+    fixed, sampled = (RK.monte_carlo_need(wide, 4000, lv).agg(F.avg("need").alias("m"), F.count_distinct("need").alias("d")).first() for lv in (None, levels))
+    assert fixed["d"] > 5 and sampled["m"] > fixed["m"]  # the mean of Beta(5, 1) is 0.83
+    sizes = RK.size_summary(RK.need_counts(RK.monte_carlo_need(wide, 4000), ["site_code", "test_type"]), ["site_code", "test_type"])
+    spent = RK.investment(sizes, spark.createDataFrame([("S", "AF", 1.0)], "site_code string, test_type string, current_equipment_qty double"), ["site_code", "test_type"], F.lit(100.0)).first()
+    assert spent["delta_units_p80"] == max(spent["p80_need"] - 1, 0) and spent["capex_usd_p80"] == round(spent["delta_units_p80"] * 100)
