@@ -664,3 +664,37 @@ def test_pipeline_stages(spark, sf_dir):
     packed = cp.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id", "piece").count() >= docs.count()
     assert packed.agg(F.sum("n_words").alias("n")).first()["n"] == docs.agg(F.sum(word_count(F.col("text"))).alias("n")).first()["n"]
+
+
+def test_near_copies_go_for_their_own_text(spark):
+    """Of two rows with one id only the near copy goes; null ids come after all others."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(12)
+    a, b, c = (" ".join(rng.choice("abcdefgh") + rng.choice("xyzuvw") + str(rng.randrange(99)) for _ in range(60)) for _ in range(3))
+    texts = [a, a + " tail", b, b + " tail", c, c + " tail", c + " end", None, "", None, "one"]
+    ids = [1, 3, 3, None, None, 9, 9, 4, 4, None, 3]
+    kept = cp.drop_near_copies(spark, table(spark, texts, ids=ids).withColumnRenamed("bucket", "key").withColumnRenamed("component", "row"), "")
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "keep_id", "key", "row"]
+    rows = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    nine = [t for i, t in rows if i == 9]
+    assert len(nine) == 1 and nine[0] in (c + " tail", c + " end")
+    assert rows == sorted([(1, a), (3, b), (9, nine[0]), (4, None), (4, ""), (None, None), (3, "one")], key=repr)
+    assert cp.drop_near_copies(spark, table(spark, ["x"]).limit(0), "").count() == 0
+
+
+def test_whole_pipeline_on_odd_rows(spark, sf_dir, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(13)
+    texts = [prose(rng, rng.randrange(5, 60)) for _ in range(60)]
+    texts += [texts[0], texts[1], texts[2] + " more", None, None, "", " \n", "w " * 3000, "x" * 20000]
+    ids = [*range(60), 100, 1, None, None, 61, 62, 63, 64, 64]
+    table(spark, texts, ids=ids).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = cp.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in rows} <= set(ids) and len(rows) > 20
+    assert all(r["bin_words"] is None or r["bin_words"] <= 2048 for r in rows)
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert cp.run(spark, f"{tmp_path}/empty").count() == 0
