@@ -221,6 +221,7 @@ def fit(docs: DataFrame, labelled: DataFrame, k: int = 15, weight_of_prior: floa
             index, _ = worker_index(key, shared)
             raw = [vote(index, term_counts(x), model["prior"], k, weight_of_prior, d)[0] for d, x in zip(pdf["doc_id"], pdf["text"], strict=True)]
             yield pd.DataFrame({"raw": np.array(raw, float), "toxic": pdf["toxic"]})
+        _INDEXES.clear()
 
     rows = labelled.mapInPandas(from_others, "raw double, toxic int").collect()
     model["calibration"] = logistic(np.array([r["raw"] for r in rows]), np.array([r["toxic"] for r in rows], float))
@@ -241,8 +242,7 @@ def scorer(spark: SparkSession, model: dict, k: int = 15, weight_of_prior: float
     """A function of a text column: struct(score, evidence), to be used with any frame; evidence holds the neighbours' doc_ids."""
     shared, model_key = spark.sparkContext.broadcast(model), uuid.uuid4().hex
 
-    @F.pandas_udf("score double, evidence array<bigint>")
-    def of(texts: pd.Series) -> pd.DataFrame:
+    def answered(texts: pd.Series) -> pd.DataFrame:
         if shared.value["calibration"] is None:
             return pd.DataFrame({"score": np.full(len(texts), shared.value["prior"]), "evidence": [[]] * len(texts)})
         index, seen = worker_index(model_key, shared)
@@ -259,6 +259,14 @@ def scorer(spark: SparkSession, model: dict, k: int = 15, weight_of_prior: float
             evidence.append(seen[key][1])
         return pd.DataFrame({"score": pd.Series(scores, dtype=float), "evidence": pd.Series(evidence, dtype=object)})
 
+    @F.pandas_udf("score double, evidence array<bigint>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for texts in batches:
+                yield answered(texts)
+        finally:
+            _INDEXES.clear()  # a worker that waits for what comes next holds no model
+
     return lambda text: of(text)
 
 
