@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from planforge.operators import analytics as N
 from planforge.operators import capacity as K
-from planforge.operators import planning as P
-from planforge.plans import adapters as A
-from planforge.sources import io
+from planforge.plans import layers
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    """The planning base. Lines are joined and written once; everything else is taken from that table or from one aggregate of it."""
-    needed = ["site_code", "region_no", "factory_code", "product_number", "test_type", "month_key", "order_month", "order_key", "total_qty", "yield_avg", "utilization_rate", "handling_time_sec", "test_time_sec", "equip_qty"]
-    lines = io.overwrite(A.lines(spark, sf).select(*needed), io.scratch(spark, "lines"))
-    cells = io.overwrite(A.cells(lines), io.scratch(spark, "cells"))
-    own = cells.groupBy("site_code", "product_number", "month_key", "snapshot_id").agg(F.sum("qty").alias("demand_qty"))
-    demand = P.all_demand(own, A.hierarchy(spark, sf), A.products(spark, sf))
-    return P.planning_base(demand, cells.drop("qty"), None, A.inventory_of(lines), A.site_params_of(lines), A.sites(spark, sf), A.test_types(spark, sf), A.CUTOFF)
+    """The planning base, from its layer."""
+    return layers.planning(spark, sf)
 
 
 def capacity(spark: SparkSession, sf: str) -> DataFrame:

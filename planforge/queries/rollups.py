@@ -43,10 +43,11 @@ def e3_planning_base(spark, sf):
     return rounded(b.select("gcm_pk", "site_code", "product_number", "parent_product_number", "test_type", "equipment_id", "month_key", "snapshot_id", "effective_demand_qty", "target_test_time_sec", "target_yield", "equip_qty_available", "utilization_rate", "working_days_normal", "shifts_per_day_max", "region", "data_type", "gcm_mi_join_key"))
 
 
-@query(
-    f"""SELECT n.cap_pk, {R('m.capacity_qty', 4)} AS max_capacity_qty, {R('(m.capacity_qty - n.capacity_qty) / nullif(n.capacity_qty, 0)')} AS flexibility_pct
-    FROM cap n LEFT JOIN cap m ON n.gcm_pk = m.gcm_pk AND n.retest_type = m.retest_type AND m.capacity_mode = 'MAXIMUM' WHERE n.capacity_mode = 'NORMAL'"""
-)
+_NORMAL = "FILTER (WHERE capacity_mode = 'NORMAL')"
+_BOTH = f"SELECT any_value(cap_pk) {_NORMAL} AS cap_pk, any_value(capacity_qty) {_NORMAL} AS capacity_qty, any_value(capacity_qty) FILTER (WHERE capacity_mode = 'MAXIMUM') AS max_capacity_qty{{more}} FROM cap GROUP BY gcm_pk, retest_type"
+
+
+@query(f"SELECT cap_pk, {R('max_capacity_qty', 4)} AS max_capacity_qty, {R('(max_capacity_qty - capacity_qty) / nullif(capacity_qty, 0)')} AS flexibility_pct FROM both_modes", {"both_modes": _BOTH.format(more="")})
 def e8_demand_vs_capacity(spark, sf):
     out = chains.demand_vs_capacity(spark, sf)
     return out.select("cap_pk", r("max_capacity_qty", 4).alias("max_capacity_qty"), r("flexibility_pct").alias("flexibility_pct"))
@@ -61,9 +62,8 @@ def e8_parity_fan_out(spark, sf):
     return out.groupBy("site_code", "snapshot_id").agg(F.count("*").alias("n"), F.count("max_capacity_qty").alias("matched"))
 
 
-_ACC = """SELECT n.site_code, n.product_number, n.month_key, o.demand_qty AS forecast_qty, n.demand_qty AS actual_qty, o.demand_qty - n.demand_qty AS forecast_error, abs(o.demand_qty - n.demand_qty) AS abs_error,
-    abs(o.demand_qty - n.demand_qty) / nullif(n.demand_qty, 0) AS pct_error, (o.demand_qty - n.demand_qty) / nullif(n.demand_qty, 0) AS bias_pct
-    FROM demand n JOIN demand o USING (site_code, product_number, month_key) WHERE n.snapshot_id = 'S2' AND o.snapshot_id = 'S1'"""
+_ACC = """SELECT site_code, product_number, month_key, f AS forecast_qty, a AS actual_qty, f - a AS forecast_error, abs(f - a) AS abs_error, abs(f - a) / nullif(a, 0) AS pct_error, (f - a) / nullif(a, 0) AS bias_pct
+    FROM (SELECT site_code, product_number, month_key, sum(total_qty) FILTER (WHERE snapshot_id = 'S1') AS f, sum(total_qty) FILTER (WHERE snapshot_id = 'S2') AS a FROM snapshots GROUP BY 1, 2, 3) WHERE f IS NOT NULL AND a IS NOT NULL"""
 
 
 @query(f"SELECT * REPLACE ({R('pct_error')} AS pct_error, {R('bias_pct')} AS bias_pct), CASE WHEN forecast_error > 0 THEN 'OVER_FORECAST' WHEN forecast_error < 0 THEN 'UNDER_FORECAST' ELSE 'ACCURATE' END AS bias FROM accuracy", {"accuracy": _ACC})
@@ -114,12 +114,11 @@ def e12_features_with_oee(spark, sf):
     return rounded(A.monthly(spark, sf).join(_oee_site(spark, sf).select("site_code", "test_type", "month_key", "oee"), ["site_code", "test_type", "month_key"], "left"))
 
 
-_WIDE = f"""SELECT n.cap_pk, n.site_code, n.region, {R('n.step1_avg_test_time', 4)} AS step1_avg_test_time, {R('n.step2_total_avg_test_time', 4)} AS step2_total_avg_test_time, {R('n.step3_productivity_adjusted', 4)} AS step3_productivity_adjusted,
-    n.step4_monthly_shifts, {R('n.capacity_qty', 4)} AS capacity_qty, {R('m.capacity_qty', 4)} AS max_capacity_qty, n.investment_need_units, n.bottleneck_severity
-    FROM cap n LEFT JOIN cap m ON n.gcm_pk = m.gcm_pk AND n.retest_type = m.retest_type AND m.capacity_mode = 'MAXIMUM' WHERE n.capacity_mode = 'NORMAL'"""
+_WIDE = ("site_code", "region", "step1_avg_test_time", "step2_total_avg_test_time", "step3_productivity_adjusted", "step4_monthly_shifts", "investment_need_units", "bottleneck_severity")
+_WIDE_SQL = ", ".join(f"{R(c, 4)} AS {c}" if c in _WIDE[2:5] else c for c in _WIDE)
 
 
-@query(_WIDE)
+@query(f"SELECT cap_pk, {_WIDE_SQL}, {R('capacity_qty', 4)} AS capacity_qty, {R('max_capacity_qty', 4)} AS max_capacity_qty FROM both_modes", {"both_modes": _BOTH.format(more="".join(f", any_value({c}) {_NORMAL} AS {c}" for c in _WIDE))})
 def e16_wide_capacity_summary(spark, sf):
     out = chains.demand_vs_capacity(spark, sf)
     return rounded(out.select("cap_pk", "site_code", "region", "step1_avg_test_time", "step2_total_avg_test_time", "step3_productivity_adjusted", "step4_monthly_shifts", "capacity_qty", "max_capacity_qty", "investment_need_units", "bottleneck_severity"), 4)
@@ -341,3 +340,10 @@ def k11_predicted_yield_capacity(spark, sf):
     p = A.fact(spark, sf).groupBy("site_code", "test_type", "month_key").agg(F.avg("yield_avg").alias("predicted_yield"))
     out = K.with_predicted_yield(chains.base(spark, sf), p, ["site_code", "test_type", "month_key"])
     return out.select("gcm_pk", r("capacity_qty", 4).alias("capacity_qty"), r("ml_utilization_ratio").alias("ml_utilization_ratio"), "yield_source")
+
+
+@query(f"SELECT month_key, data_type, count(*) AS n, sum(effective_demand_qty) AS demand, {R('avg(target_yield)')} AS target_yield, CAST(sum(equip_qty_available) AS BIGINT) AS equipment FROM base GROUP BY 1, 2")
+def k7_planning_layer(spark, sf):
+    """The months of the planning layer, brought up to the present tables: only months whose lines changed are written."""
+    out = chains.base(spark, sf).groupBy("month_key", "data_type")
+    return rounded(out.agg(F.count("*").alias("n"), F.sum("effective_demand_qty").alias("demand"), F.avg("target_yield").alias("target_yield"), F.sum("equip_qty_available").cast("bigint").alias("equipment")))

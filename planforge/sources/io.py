@@ -68,6 +68,16 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], order: list[str])
     return df.sparkSession.read.parquet(path)
 
 
+def add_months(df: DataFrame, path: str, by: str, order: list[str]) -> None:
+    """Rows in folders of their month, to those that are there. Each file is in order, and a large month is split into several."""
+    df.hint("rebalance", by).sortWithinPartitions(by, *order).write.mode("append").partitionBy(by).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def create_views(views: dict[str, DataFrame]) -> int:
     for name, df in views.items():
         df.createOrReplaceTempView(name)
