@@ -18,6 +18,8 @@ from planforge.sources.store import Store, fingerprint
 INPUTS = ("region", "nation", "supplier", "part", "orders", "lineitem")
 NEEDED = ["site_code", "region_no", "factory_code", "product_number", "test_type", "month_key", "order_month", "order_key", "total_qty", "yield_avg", "utilization_rate", "handling_time_sec", "test_time_sec", "equip_qty"]
 _LAYER = "planning"
+#: Raised whenever ``build`` gives other rows for the same tables, so that layers written before are not taken for its own.
+RULES = 1
 
 
 def _content(df: DataFrame, columns: list[str]) -> list:
@@ -34,7 +36,7 @@ def month_digests(lines: DataFrame, shared: list[DataFrame]) -> DataFrame:
     months = F.array_distinct(F.array_compact(F.array("order_month", "month_key")))
     per = lines.withColumn("month", F.explode(months)).groupBy("month").agg(*_content(lines, NEEDED)).withColumnRenamed("month", "month_key")
     parts = [df.agg(*_content(df, df.columns)).select(F.concat_ws(":", F.lit(i), "n", "digest").alias("part")) for i, df in enumerate(shared)]
-    one = reduce(DataFrame.unionByName, parts).agg(F.array_join(F.sort_array(F.collect_list("part")), "|").alias("common"))  # a row
+    one = reduce(DataFrame.unionByName, parts).agg(F.concat_ws("|", F.lit(RULES), F.lit(A.CUTOFF), F.sort_array(F.collect_list("part"))).alias("common"))  # a row
     return per.join(F.broadcast(one), F.lit(True))
 
 
@@ -86,7 +88,7 @@ class Planning:
     def refresh(self) -> list[int]:
         """Bring the layer up to the present tables. Returns the months that were rewritten or removed."""
         spark, sf = self.spark, self.sf
-        source = fingerprint(spark, [f"{sf}/{t}.parquet" for t in INPUTS])
+        source = f"{RULES}:{A.CUTOFF};" + fingerprint(spark, [f"{sf}/{t}.parquet" for t in INPUTS])
         state = self.store.metadata(_LAYER)
         if state and state["source"] == source:
             return []
