@@ -12,8 +12,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planforge.operators.neighbours import nearest
+from planforge.sources import io
+
 
 def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
     """Alphabetical codes from 0; the tables of values are small and fitted once."""
@@ -33,32 +37,37 @@ def standardized(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumns({f"{c}_z": F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.col(f"{c}_s")), F.lit(0.0)) for c in columns}).drop(*[f"{c}_{x}" for c in columns for x in "ms"])
 
 
-def oversample(df: DataFrame, label: str, columns: list[str], groups: int, k: int = 5, seed: int = 11) -> DataFrame:
-    """Rows of the rarer class plus points between near neighbours, until a hashed group is balanced.
+def oversample(df: DataFrame, label: str, columns: list[str], key: list[str], k: int = 5, seed: int = 11) -> DataFrame:
+    """Rows of label 0 and 1, and points between rows of label 1 and one of their k nearest, until both labels are as many.
 
-    Neighbours are looked for inside groups of a hash of the row, which are bounded by ``groups``.
+    Neighbours are sought among all rows of label 1 (``nearest``, exact). Every such row gives as many points as the others,
+    or one more; which neighbour and how far on the way to it come from a hash of (row, number), so reruns agree. Rows are told apart
+    by ``key``; where keys repeat, any order among their rows is taken. Fewer than two rows of label 1, or no fewer than
+    of label 0, add nothing. Null columns count as 0.
     """
-    names = [label, *columns]
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rare = pdf[pdf[label] == 1][columns].to_numpy(float)
-        missing = int((pdf[label] == 0).sum() - len(rare))
-        if len(rare) < 2 or missing <= 0:
-            return pdf[names]
-        rng = np.random.default_rng(seed)
-        near = min(k, len(rare) - 1)
-        d = ((rare[:, None, :] - rare[None, :, :]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        order = np.argsort(d, axis=1, kind="stable")[:, :near]
-        base = np.arange(missing) % len(rare)
-        other = order[base, rng.integers(0, near, missing)]
-        made = rare[base] + rng.random((missing, 1)) * (rare[other] - rare[base])
-        extra = pd.DataFrame(made, columns=columns).assign(**{label: 1})
-        return pd.concat([pdf[names], extra[names]])
-
-    schema = f"{label} int, " + ", ".join(f"{c} double" for c in columns)
-    rows = df.select(F.col(label).cast("int").alias(label), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
-    return rows.withColumn("_g", F.pmod(F.xxhash64(*columns), F.lit(groups))).groupBy("_g").applyInPandas(grow, schema)
+    spark = df.sparkSession
+    rows = df.select(F.col(label).cast("int").alias(label), *[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(c) for c in columns], F.xxhash64(*key).alias("_h"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)])
+    sizes = rows.agg(F.count_if(F.col(label) == 1).alias("rare"), F.count_if(F.col(label) == 0).alias("common")).first()
+    rare, missing = sizes["rare"], sizes["common"] - sizes["rare"]
+    base = rows.select(label, *columns)
+    if rare < 2 or missing <= 0:
+        return base
+    # numbers from 0 without a window over all rows: counts of hash ranges, summed up to each, and a number inside it
+    parts = min(4096, max(1, rare // 10000))
+    some = rows.where(F.col(label) == 1).withColumn("_b", F.pmod("_h", F.lit(parts)))
+    before = some.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_n", F.sum("_n").over(W.orderBy("_b")) - F.col("_n"))  # 4,096 rows at most
+    inside = F.row_number().over(W.partitionBy("_b").orderBy("_h", *[f"_k{i}" for i in range(len(key))], *columns)) - 1
+    some = some.withColumn("_in", inside).join(F.broadcast(before), "_b").select((F.col("_in") + F.col("_n")).cast("long").alias("id"), *columns)
+    some = io.overwrite(some, io.scratch(spark, "oversample"))
+    near = nearest(some, "id", columns, k)
+    at = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), "id", "s")
+    copies = F.lit(missing // rare) + F.when(F.col("id") < missing % rare, 1).otherwise(0)
+    drawn = some.select("id", F.array(*columns).alias("x"), F.explode(F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies.cast("long")))).alias("s"))
+    drawn = drawn.withColumn("rank", (F.pmod(at(1), F.lit(min(k, rare - 1))) + 1).cast("int"))
+    drawn = drawn.join(near.select("id", "rank", "other"), ["id", "rank"]).join(some.select(F.col("id").alias("other"), F.array(*columns).alias("y")), "other")
+    u = F.shiftrightunsigned(at(2), 11) / float(1 << 53)
+    made = drawn.select(F.zip_with("x", "y", lambda a, b: a + u * (b - a)).alias("v"))
+    return base.unionByName(made.select(F.lit(1).alias(label), *[F.col("v")[i].alias(c) for i, c in enumerate(columns)]))
 
 
 def stratified_folds(df: DataFrame, label: str, key: list[str], folds: int) -> DataFrame:

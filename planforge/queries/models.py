@@ -128,8 +128,7 @@ def _store(spark, sf):
 @query()
 def l12_oversampling(spark, sf):
     rows = _store(spark, sf).withColumn("label", F.when(F.col("demand_qty") < 10, 1).otherwise(0))
-    groups = max(1, rows.count() // 5000)
-    return ml.oversample(rows, "label", _COLS, groups)
+    return ml.oversample(rows, "label", _COLS, ["feat_pk"])
 
 
 @query()

@@ -12,6 +12,7 @@ from planforge.operators import forecast as FC
 from planforge.operators import ml, quality, reshape
 from planforge.operators import windows as G
 from planforge.operators.analytics import daily_rollup
+from planforge.operators.quantiles import middle_values
 
 
 def one(spark, **columns):
@@ -131,10 +132,13 @@ def test_croston_closed_form(spark):
     assert all(got[k] == pytest.approx(croston_loop(vs)) for k, vs in series.items())
 
 
-def test_upper_median(spark):
-    for values in ([1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [4.0, 1.0, 3.0, 2.0]):
-        got = spark.createDataFrame([(v,) for v in values], "v double").agg(FC.upper_median("v").alias("m")).first()["m"]
-        assert got == sorted(values)[len(values) // 2]
+def test_middle_values(spark):
+    rng = random.Random(4)
+    many = [float(rng.choice([7, rng.randint(-9, 99), rng.random()])) for _ in range(3001)]
+    for values in ([1.0], [1.0, 2.0], [3.0, 1.0, 2.0], [4.0, 1.0, 3.0, 2.0], [2.0] * 5, many, many[1:]):
+        got = middle_values(spark.createDataFrame([(v,) for v in [*values, None]], "v double"), "v", 100).first()
+        assert (got["lower_middle"], got["upper_middle"]) == (sorted(values)[(len(values) - 1) // 2], sorted(values)[len(values) // 2])
+    assert middle_values(spark.createDataFrame([(None,)], "v double"), "v").first()["upper_middle"] is None
 
 
 def test_daily_rollup_dedup(spark):
