@@ -50,6 +50,15 @@ def pack_group(sizes, sources, clusters, capacity: int, per_source: int) -> tupl
     return at, start
 
 
+def _runs(counted: DataFrame, most: int) -> DataFrame:
+    """Rows of at most ``most`` copies each, numbered by run; in two steps, so that no array grows with a count."""
+    copies, large = F.col("copies"), most * 4096
+    for column, step in (("_large", large), ("_small", most)):
+        counted = counted.withColumn(column, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / step))))
+        counted = counted.withColumn("copies", F.least(copies - F.col(column) * step, F.lit(step)))
+    return counted.withColumn("run", F.col("_large") * 4096 + F.col("_small")).drop("_large", "_small")
+
+
 def best_fit_pack(
     docs: DataFrame, capacity: int = 2048, per_source: int = 2, group_docs: int = 1024, cluster_col: str | None = None
 ) -> DataFrame:
@@ -58,12 +67,14 @@ def best_fit_pack(
     Sizes are words. A document of n words has n // capacity pieces that fill bins of their own and
     a rest that is packed; no bin holds two documents of a duplicate cluster (``cluster_col``, by
     default equal texts) or more than ``per_source`` of a source. Documents are packed in groups
-    of about ``group_docs`` by a hash of their id, size and cluster, so that a hot source or cluster, or
+    of about ``group_docs`` by a hash of their id, source, size and cluster, so that a hot source or cluster, or
     an id that many rows have, is spread, a task is bounded and reruns agree; bins don't cross groups.
-    Only rows equal in all three meet in one group.
+    Rows equal in all four (null ids with one text, say) can't be told apart in the result: they are counted
+    first, and dealt to groups in runs of at most ``group_docs / 16``. So packing, whose search is quadratic in
+    conflicting documents of a group, meets no group that grows with the table.
 
     Texts without words (null ones too) give one piece of 0 words without a bin. Repeated rows are
-    packed each, never into one bin. Null ids, sources and clusters are values like others; an empty
+    packed each, never into one bin; among equal sizes the smaller id, then source, then cluster comes first. Null ids, sources and clusters are values like others; an empty
     table gives an empty result.
     """
     cluster = F.xxhash64(F.coalesce("text", F.lit(""))) if cluster_col is None else F.xxhash64(F.col(cluster_col))
@@ -72,6 +83,7 @@ def best_fit_pack(
     groups = max(1, math.ceil(total / group_docs))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.loc[pdf.index.repeat(pdf["copies"])]
         pdf = pdf.sort_values(["doc_id", "source", "n", "cluster"], kind="stable", na_position="last")
         g = int(pdf["g"].iloc[0])
         ids, sources = pdf["doc_id"].tolist(), pdf["source"].tolist()
@@ -94,7 +106,9 @@ def best_fit_pack(
         frame = pd.DataFrame(out, columns=["doc_id", "source", "piece", "start_word", "n_words", "bin_id", "bin_start", "bin_words"])
         return frame.astype({"doc_id": "Int64", "bin_start": "Int64", "bin_words": "Int64"})
 
-    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n", "cluster"), F.lit(groups))).groupBy("g").applyInPandas(pack, PACKED)
+    key = ["doc_id", "source", "n", "cluster"]
+    runs = _runs(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")), max(1, group_docs // 16))
+    return runs.withColumn("g", F.pmod(F.xxhash64(*key, "run"), F.lit(groups))).drop("run").groupBy("g").applyInPandas(pack, PACKED)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -364,6 +364,22 @@ def test_packing_and_mixing_with_null_ids_repeats_and_clashing_columns(spark):
     assert mixing.repeat_by_copies(df.limit(0)).count() == 0
 
 
+def test_packing_deals_equal_rows_to_several_groups(spark):
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text of six words here").alias("text"), F.lit("hot").alias("source"))
+    df = df.unionByName(table(spark, ["another one"] * 3, ["a"] * 3, ids=[1, 1, 2]).select(*df.columns))
+    rows = packing.best_fit_pack(df, capacity=100, group_docs=320).collect()
+    assert len(rows) == 5003 and len({r["bin_id"] for r in rows if r["doc_id"] is None}) == 5000  # copies never share a bin
+    sizes = {}
+    for r in rows:
+        g = r["bin_id"].split("-")[0]
+        sizes[g] = sizes.get(g, 0) + 1
+    assert len(sizes) > 10 and max(sizes.values()) < 1000
+    again = packing.best_fit_pack(df.repartition(5), capacity=100, group_docs=320).collect()
+    assert sorted(map(str, again)) == sorted(map(str, rows))
+    split = packing._runs(spark.createDataFrame([(1, 1), (2, 4096 * 2 + 3)], "k int, copies long"), 2).groupBy("k").agg(F.sum("copies").alias("n"), F.max("copies").alias("most"), F.count_distinct("run").alias("runs"))
+    assert sorted(tuple(r) for r in split.collect()) == [(1, 1, 1, 1), (2, 8195, 2, 4098)]
+
+
 def test_pack_group_takes_the_tightest_compatible_bin():
     at, _ = packing.pack_group([60, 50, 40, 40], ["a", "b", "a", "b"], [1, 2, 3, 4], 100, 1)
     assert at[2] == at[1] and at[3] == at[0]  # 40 would fit the bin of 60 exactly, but for its source
