@@ -182,3 +182,20 @@ def test_coordinate_descent_meets_its_conditions():
     slope = np.einsum("skl,sl->sk", gram, beta) - moment + l2 * beta
     assert np.allclose(slope[beta != 0], -8.0 * np.sign(beta[beta != 0]), atol=1e-6)
     assert (np.abs(slope[beta == 0]) <= 8.0 + 1e-9).all() and (beta == 0).any()
+
+
+def test_the_driver_gets_splits_and_no_histograms(spark, monkeypatch):
+    """What comes to the driver is far smaller than a histogram a level, and the trees are the same on one block and on many."""
+    from pyspark import RDD
+
+    df, columns = spark.range(4000).select("id", *[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double").alias(f"c{i}") for i in range(4)]), [f"c{i}" for i in range(4)]
+    df = df.withColumns({"y": F.col("c0") * F.col("c1") / 1000 + F.col("c2"), "all": F.lit(True)})
+    p = B.Params(trees=3, depth=4, rows=1.0, columns=1.0)
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    monkeypatch.setattr(RDD, "treeReduce", None)
+    many = B.fit(df, ["id"], columns, "y", {"m": ("all", p)}, block_rows=200)["m"]
+    levels = [x for x in sent if x and isinstance(x[0], tuple)]
+    assert len(levels) == 12 and not any(isinstance(v, np.ndarray) for x in levels for row in x for v in row)
+    one = B.fit(df, ["id"], columns, "y", {"m": ("all", p)}, block_rows=10_000)["m"]
+    assert np.array_equal(many.feature, one.feature) and np.array_equal(many.value, one.value)
