@@ -64,3 +64,10 @@ def test_quantiles_from_counts(folded):
     wanted = {c: (c, 0.5) for c in ("effective_demand_qty", "equip_qty_available", "utilization_rate", "target_yield")}
     parts = [(P.plans_of(folded), "n_rows", ["effective_demand_qty", "target_yield"]), (P.equipment_of(folded), "n_rows", ["equip_qty_available", "utilization_rate"])]
     same(quantiles_of_counts(parts, ["test_type"], wanted), exact_quantiles(P.unfolded(folded), ["test_type"], wanted), ["test_type"])
+
+
+def test_plan_of_actuals_is_one_aggregate_of_one_snapshot(spark, sf_dir):
+    from planforge.queries import rollups
+
+    plan = rollups._plan(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and "Generate" not in plan
