@@ -131,3 +131,20 @@ def test_digests_tell_nulls_and_repeats_apart(spark):
     assert digest(rows_of("x", "x", "y")) != digest(rows_of("x", "y", "y"))
     assert digest(rows_of(None)) != digest(rows_of(""))
     assert rows_of().agg(F.count("*")).first()[0] == 0
+
+
+def test_built_in_parts_the_layer_is_the_same_and_leaves_no_files(spark, tables, monkeypatch):
+    assert layers.month_groups({3: 5, 1: 4, 2: 4}) == [[1, 2, 3]]
+    monkeypatch.setattr(layers, "LINE_BYTES", 1)
+    monkeypatch.setattr(layers, "LINES", 400)
+    monkeypatch.setattr(layers, "MOST_PARTS", (3, 4))
+    assert layers.month_groups({3: 300, 1: 400, 2: 400, 4: 100}) == [[1], [2], [3, 4]]
+    groups, build = [], layers.build_folded
+    monkeypatch.setattr(layers, "build_folded", lambda *a: groups.append(a[3]) or build(*a))
+    layer = layers.Planning(spark, tables)
+    before = set(os.listdir(layers.io.shared_dir(spark))) if os.path.exists(layers.io.shared_dir(spark)) else set()
+    months = layer.refresh()
+    assert len(groups) > 2 and sorted(m for g in groups for m in g) == months
+    assert rows(layer.read()) == rows(anew(spark, tables))
+    left = {d.split("-")[0] for d in set(os.listdir(layers.io.shared_dir(spark))) - before}
+    assert left <= {"layers", "cells", "folded"} and spark.conf.get(layers.io._CLEANUP) == "false"
