@@ -71,3 +71,14 @@ def test_plan_of_actuals_is_one_aggregate_of_one_snapshot(spark, sf_dir):
 
     plan = rollups._plan(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 1 and "Generate" not in plan
+
+
+def test_tasks_of_actuals_grow_with_the_table(spark, sf_dir, monkeypatch):
+    from planforge.queries import rollups
+    from planforge.sources import io
+
+    monkeypatch.setattr(rollups, "_TASK_BYTES", io.size_of(spark, f"{sf_dir}/lineitem.parquet") // 9)
+    out = rollups.e11_parity_all_months(spark, sf_dir)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(site_code" in line]
+    assert len(dealt) == 2 and all(", REPARTITION_BY_NUM" in line and ", 10)" in line for line in dealt)  # one shuffle a side
