@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from planforge.operators import planning as P
 from planforge.plans import adapters as A
 from planforge.plans import layers
 
@@ -148,3 +149,17 @@ def test_built_in_parts_the_layer_is_the_same_and_leaves_no_files(spark, tables,
     assert rows(layer.read()) == rows(anew(spark, tables))
     left = {d.split("-")[0] for d in set(os.listdir(layers.io.shared_dir(spark))) - before}
     assert left <= {"layers", "cells", "folded"} and spark.conf.get(layers.io._CLEANUP) == "false"
+
+
+def test_demand_and_test_times_are_dealt_once_each(spark, tables):
+    about = P.about_products(A.hierarchy(spark, tables), A.products(spark, tables)).localCheckpoint()
+    cells = P.with_demand(A.cells(A.lines(spark, tables).select(*layers.NEEDED), "product_number"), about).localCheckpoint()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with layers.io.joined_where_dealt(spark):
+            rows = P.planned_demand(cells).groupBy(*P.CELL).count()
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # test times, and the demand for children
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
