@@ -22,7 +22,7 @@ class SortedLists:
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
         self.v, self.ids = vectors, ids
-        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)  # [dimension, place]
 
     def search(self, anchor: np.ndarray, own: int, windows: list[tuple[int, int]], k: int, step: int = 16) -> list[tuple[int, int, int]]:
         """(window, number, score) of all rows that can be among the k best of each window of scores.
@@ -34,27 +34,33 @@ class SortedLists:
         """
         dims = np.flatnonzero(anchor)
         up, down = dims[anchor[dims] < 0], dims[anchor[dims] > 0]
-        seen = np.zeros(len(self.v), bool)
-        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = len(self.v)
+        seen, met_now = np.zeros(n, bool), np.zeros(n, bool)
+        seen[self.ids == own] = True
+        rows, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         depth = 0
         while depth < n:
             to = min(n, depth + step)
-            met = np.concatenate([self.order[depth:to, up].ravel(), self.order[n - to : n - depth, down].ravel()]) if len(dims) else np.arange(n)
-            met = np.unique(met[~seen[met]])
+            if len(dims):
+                met_now[:] = False
+                met_now[self.order[up, depth:to]] = True
+                met_now[self.order[down, n - to : n - depth]] = True
+                met = np.flatnonzero(met_now & ~seen)
+            else:
+                met = np.flatnonzero(~seen)
             seen[met] = True
-            met = met[self.ids[met] != own]
             rows, scores = np.concatenate([rows, met]), np.concatenate([scores, self.v[met] @ anchor])
-            if not len(dims):
-                break  # all scores are 0
-            threshold = int(self.v[self.order[to - 1, up], up] @ anchor[up] + self.v[self.order[n - to, down], down] @ anchor[down])
+            if not len(dims) or seen.all():
+                break  # all scores are 0, or nothing is left to be met
+            threshold = int(self.v[self.order[up, to - 1], up] @ anchor[up] + self.v[self.order[down, n - to], down] @ anchor[down])
             depth, step = to, step * 2
             if all(threshold < lo or threshold < self.kth(scores, lo, hi, k) for lo, hi in windows):
                 break
         out = []
         for j, (lo, hi) in enumerate(windows):
             least = max(lo, self.kth(scores, lo, hi, k))
-            out += [(j, int(r), int(s)) for r, s in zip(rows, scores, strict=True) if least <= s <= hi]
+            hit = np.flatnonzero((scores >= least) & (scores <= hi))
+            out += zip([j] * len(hit), rows[hit].tolist(), scores[hit].tolist())
         return out
 
     @staticmethod

@@ -220,3 +220,14 @@ def test_token_columns_and_digests(spark, library):
     order = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
     assert B.token_digests(df.limit(0), path).count() == 0
+
+
+def test_hard_negatives_end_once_all_rows_are_met(monkeypatch):
+    """A search that no threshold ends stops when nothing is left to be met, not at the end of the lists."""
+    rng = np.random.default_rng(5)
+    v, a = rng.integers(-99, 100, (1024, 64)), rng.integers(-99, 100, 64)
+    rounds, kth = [], hard_negatives.SortedLists.kth
+    monkeypatch.setattr(hard_negatives.SortedLists, "kth", staticmethod(lambda scores, lo, hi, k: rounds.append(len(scores)) or kth(scores, lo, hi, k)))
+    found = hard_negatives.SortedLists(v, np.arange(1024)).search(a, 7, [hard_negatives.ANY], 2000)
+    assert sorted(found) == [(0, r, int(v[r] @ a)) for r in range(1024) if r != 7]
+    assert rounds.count(1023) == 1  # before, once more for each further step through the lists
