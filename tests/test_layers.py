@@ -163,3 +163,20 @@ def test_demand_and_test_times_are_dealt_once_each(spark, tables):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2  # test times, and the demand for children
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_parity_is_counted_without_a_layer(spark, tables, monkeypatch):
+    from planforge.operators import analytics as N
+    from planforge.queries import rollups
+
+    part = pq.read_table(f"{tables}/part.parquet")
+    rewrite(tables, "part", lambda t: pa.concat_tables([t, t.slice(3, 4)]))  # some products twice
+    with monkeypatch.context() as m:
+        m.setattr(layers, "COUNTED_LINES", 400)
+        counted = rows(rollups.e8_parity_fan_out(spark, tables))
+    layer = layers.Planning(spark, tables)
+    assert layer.store.metadata("planning") is None and not os.path.isdir(layer.path)
+    layer.refresh()
+    assert len(counted) > 10 and counted == rows(N.parity_counts(layer.folded())) == rows(rollups.e8_parity_fan_out(spark, tables))
+    rewrite(tables, "part", lambda t: part)
+    assert rows(rollups.e8_parity_fan_out(spark, tables)) != counted  # the layer is of tables that were
