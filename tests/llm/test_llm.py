@@ -714,3 +714,30 @@ def test_whole_pipeline_on_odd_rows(spark, sf_dir, tmp_path):
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{tmp_path}/empty/labels.parquet")
     assert cp.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_chains_are_the_same_with_and_without_the_tree(monkeypatch):
+    """Matches in reach found at once give the chains of the tree, and are used up to ``most_reach`` pairs."""
+    from planforge.llm import chain_dedup
+
+    rng = np.random.default_rng(11)
+    trees, by_tree = [], chain_dedup._by_tree
+    monkeypatch.setattr(chain_dedup, "_by_tree", lambda *a: trees.append(1) or by_tree(*a))
+    for words, n in [(30, 12), (60, 80), (400, 300), (5000, 400), (300, 900)]:
+        points = np.unique(rng.integers(0, words, (n, 2)), axis=0)
+        repeated = np.unique(np.concatenate([points, np.stack([np.arange(0, words, 3), np.arange(0, words, 3) // 2], axis=1)]), axis=0)
+        for m in (points, repeated[rng.permutation(len(repeated))]):
+            p, q = m[:, 0], m[:, 1]
+            trees.clear()
+            found = chain_dedup.chains(p, q, 5)
+            assert not trees and found == chain_dedup.chains(p, q, 5, most_reach=0) and trees == [1]
+
+
+def test_contexts_of_several_documents_at_once():
+    from planforge.llm.chain_dedup import contexts
+
+    rng = np.random.default_rng(3)
+    docs = [(np.sort(rng.choice(900, n, replace=False)), rng.integers(0, 2**62, n)) for n in (0, 1, 7, 90)]
+    at, seed = (np.concatenate([d[i] for d in docs]) for i in (0, 1))
+    of = np.repeat(np.arange(4), [len(d[0]) for d in docs])
+    assert np.array_equal(contexts(at, seed, of=of), np.concatenate([contexts(*d) for d in docs]))
