@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,7 +27,7 @@ class SortedLists:
         self.order = np.ascontiguousarray(np.argsort(vectors, axis=0, kind="stable").T)  # [dimension, place]
 
     def search(self, anchor: np.ndarray, own: int, windows: list[tuple[int, int]], k: int, step: int = 16) -> list[tuple[int, int, int]]:
-        """(window, number, score) of all rows that can be among the k best of each window of scores.
+        """(window, number, score) of the k best rows of each window of scores; ties go to the smaller id, then to the smaller number.
 
         Lists are read from the end that the anchor's sign asks for, ``step`` entries at a time and
         then twice as many; what is met is scored whole. The threshold is the score of a row that
@@ -60,6 +62,8 @@ class SortedLists:
         for j, (lo, hi) in enumerate(windows):
             least = max(lo, self.kth(scores, lo, hi, k))
             hit = np.flatnonzero((scores >= least) & (scores <= hi))
+            if len(hit) > k:  # ties at the k-th score, of which there may be any number
+                hit = hit[np.lexsort((rows[hit], self.ids[rows[hit]], -scores[hit]))[:k]]
             out += zip([j] * len(hit), rows[hit].tolist(), scores[hit].tolist())
         return out
 
@@ -70,16 +74,37 @@ class SortedLists:
         return int(np.partition(inside, len(inside) - k)[len(inside) - k]) if len(inside) >= k else ANY[0]
 
 
-def _searches(k: int):
-    def run(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, ...]] = []
-        if len(vectors) and len(asked):
-            rows, ids = vectors["row"].to_numpy(), vectors["vec_id"].to_numpy()
-            lists = SortedLists(np.stack(vectors["v"].to_numpy()).astype(np.int64), ids)
-            for a in asked.itertuples():
-                windows = list(zip(a.least, a.most, strict=True))
-                out += [(a.asked, a.parts[j], rows[r], ids[r], s) for j, r, s in lists.search(np.asarray(a.v, np.int64), a.vec_id, windows, k)]
-        return pd.DataFrame(out, columns=["asked", "part", "row", "vec_id", "score"]).astype({"asked": "int64", "part": "int32", "row": "int64", "vec_id": "int64", "score": "int64"})
+def _searches(k: int, key: list[str], most_found: int = 1 << 16):
+    """Of rows in order of shard, its vectors before the anchors asked of it: one shard is held at a time, and what is asked and found in batches."""
+    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32()}[c.split()[1]]) for c in FOUND.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, lists, out = None, [], None, []
+        for batch in batches:
+            col = {c: batch.column(c) for c in ("row", "vec_id", "asked", "parts", "least", "most")}
+            v, cuts = batch.column("v").values.to_numpy(zero_copy_only=False), batch.column("v").offsets.to_numpy()
+            vector = lambda i, v=v, cuts=cuts: v[cuts[i] : cuts[i + 1]].astype(np.int64)
+            places = zip(*[batch.column(c).to_pylist() for c in key], col["asked"].is_valid().to_pylist(), range(batch.num_rows), strict=True)
+            for (*at, is_asked), run in groupby(places, key=lambda p: p[:-1]):
+                numbers = [p[-1] for p in run]
+                if at != shard:
+                    shard, held, lists = at, [], None
+                if not is_asked:
+                    some = slice(numbers[0], numbers[-1] + 1)
+                    held.append((np.stack([vector(i) for i in numbers]), *(col[c][some].to_numpy() for c in ("vec_id", "row"))))
+                    continue
+                if lists is None and held:
+                    vectors, ids, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+                    lists, held = SortedLists(vectors, ids), []
+                for i in numbers if lists else ():
+                    asked, own = col["asked"][i].as_py(), col["vec_id"][i].as_py()
+                    parts, windows = col["parts"][i].as_py(), list(zip(col["least"][i].as_py(), col["most"][i].as_py(), strict=True))
+                    out += [(asked, parts[j], int(rows[r]), int(ids[r]), s) for j, r, s in lists.search(vector(i), own, windows, k)]
+                    if len(out) >= most_found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
@@ -105,7 +130,9 @@ def mine_negatives(
     anchor's label, then negatives in those of all others: first in one shard, whose k-th score in a
     window raises the window's lower end for the rest, which may end at once. Each shard keeps a
     box of its vectors; an anchor is not sent where the box's bound is below all its windows.
-    Inside a shard the threshold algorithm reads sorted lists of each dimension.
+    Inside a shard the threshold algorithm reads sorted lists of each dimension. A task holds one shard;
+    the anchors asked of it, of which there may be any number, pass by a batch at a time, and each leaves
+    ``negatives`` rows a window at most, however many tie.
 
     Ties go to the smaller vec_id, then to the row read first. Rows with the anchor's own id are
     never its positives or negatives; otherwise each row stands for itself, repeated or not, as an
@@ -125,8 +152,13 @@ def mine_negatives(
     boxes = keep(boxes, "mine-boxes")
     anchors = rows.where("is_anchor").select(F.col("row").alias("asked"), F.col("dim").alias("own_dim"), F.col("label").alias("own_label"), *[F.col(c).alias(c) for c in ("vec_id", "v")])
 
+    none = {"asked": "bigint", "parts": "array<int>", "least": "array<bigint>", "most": "array<bigint>"}
+    held = rows.select(*key, "row", "vec_id", "v", *[F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
     def searched(asked: DataFrame, k: int) -> DataFrame:
-        return rows.select(*key, "row", "vec_id", "v").groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_searches(k), FOUND)
+        asked = asked.select(*key, F.lit(None).cast("bigint").alias("row"), "vec_id", "v", *[F.col(c).cast(t).alias(c) for c, t in none.items()])
+        dealt = held.union(asked).repartition(*key).sortWithinPartitions(*key, F.col("asked").isNotNull(), "row")
+        return dealt.mapInArrow(_searches(k, key), FOUND)
 
     everything = {"parts": F.array(F.lit(0)), "least": F.array(F.lit(ANY[0])), "most": F.array(F.lit(ANY[1]))}
     own = anchors.join(boxes.select(*key), (F.col("dim") == F.col("own_dim")) & (F.col("label") == F.col("own_label"))).withColumns(everything)
@@ -140,7 +172,7 @@ def mine_negatives(
     dealt = anchors.withColumn("block", F.pmod(F.xxhash64("asked"), F.lit(blocks)))
     copied = boxes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     reach = F.aggregate(F.zip_with("v", "box", lambda x, b: F.greatest(x * b["lo"], x * b["hi"])), F.lit(0).cast("long"), lambda a, b: a + b)
-    places = copied.join(dealt, "block").where("dim = own_dim and label <> own_label").select("asked", "vec_id", "v", *key, reach.alias("reach"))
+    places = copied.join(dealt, "block").where("dim = own_dim and label <> own_label").select("asked", *key, reach.alias("reach"))
     turn = F.row_number().over(W.partitionBy("asked").orderBy(F.col("reach").desc(), "label", "shard"))
     places = keep(places.withColumn("turn", turn), "mine-places")
 
@@ -148,6 +180,7 @@ def mine_negatives(
         """Each anchor with its windows that a shard's box reaches, at that shard."""
         lists = windows.groupBy("asked").agg(F.sort_array(F.collect_list(F.struct("part", "lo", "hi"))).alias("w"))  # as many as positives
         w = places.join(lists, "asked").withColumn("w", F.filter("w", lambda x: x["lo"] <= F.col("reach"))).where("size(w) > 0")
+        w = w.join(anchors.select("asked", "vec_id", "v"), "asked")
         return w.select("asked", "vec_id", "v", *key, F.col("w.part").alias("parts"), F.col("w.lo").alias("least"), F.col("w.hi").alias("most"))
 
     home = keep(_best(searched(windowed(places.where("turn = 1"), windows), negatives), negatives), "mine-home")

@@ -231,3 +231,20 @@ def test_hard_negatives_end_once_all_rows_are_met(monkeypatch):
     found = hard_negatives.SortedLists(v, np.arange(1024)).search(a, 7, [hard_negatives.ANY], 2000)
     assert sorted(found) == [(0, r, int(v[r] @ a)) for r in range(1024) if r != 7]
     assert rounds.count(1023) == 1  # before, once more for each further step through the lists
+
+
+def test_hard_negatives_bound_ties_and_batches():
+    """Of any number of ties a shard gives the k first, and what is found leaves a task in batches, however many anchors ask."""
+    import pyarrow as pa
+
+    ids = np.arange(1000)[::-1].copy()
+    lists = hard_negatives.SortedLists(np.ones((1000, 4), np.int64), ids)
+    assert sorted(int(ids[r]) for _, r, _ in lists.search(np.ones(4, np.int64), 0, [hard_negatives.ANY], 5)) == [1, 2, 3, 4, 5]
+    n = 300
+    batch = {"dim": [2] * n, "label": [1] * n, "shard": [0] * n, "row": [*range(100), *[None] * 200], "vec_id": [*range(100), *[-1] * 200], "v": [[i, 1] for i in range(n)]}
+    batch |= {"asked": [None] * 100 + list(range(200)), "parts": [None] * 100 + [[0]] * 200, "least": [None] * 100 + [[hard_negatives.ANY[0]]] * 200, "most": [None] * 100 + [[hard_negatives.ANY[1]]] * 200}
+    whole = pa.RecordBatch.from_pydict(batch)
+    parts = [whole.slice(i, 37) for i in range(0, n, 37)]
+    got = list(hard_negatives._searches(5, ["dim", "label", "shard"], most_found=40)(iter(parts)))
+    assert sum(b.num_rows for b in got) == 200 * 5 and max(b.num_rows for b in got) <= 44
+    assert {r["vec_id"] for b in got for r in b.to_pylist()} == {95, 96, 97, 98, 99}
