@@ -82,3 +82,60 @@ def test_tasks_of_actuals_grow_with_the_table(spark, sf_dir, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "hashpartitioning(site_code" in line]
     assert len(dealt) == 2 and all(", REPARTITION_BY_NUM" in line and ", 10)" in line for line in dealt)  # one shuffle a side
+
+
+def test_uses_from_sums(folded):
+    """The same uses without a figure per pair, and the plan has no Python."""
+    keys = ["test_type", "equipment_id", "capacity_mode", "retest_type"]
+    rows = PR.uses(folded).groupBy(*keys).agg(F.sum("use_sum").alias("use_sum"), F.max("use_max").alias("use_max"), F.min("use_min").alias("use_min"), F.sum("demand_sum").alias("demand_sum"), F.sum("n").alias("n"))
+    got = PR.summed_uses(folded)
+    same(got.drop("use_max", "use_min"), rows, keys)
+    same(got.where("retest_type = 'TYPE1'"), rows.where("retest_type = 'TYPE1'"), keys)
+    assert "MapInArrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrices_are_of_classes_and_bounded(monkeypatch):
+    """Plans and equipment of the same parameters are worked out once, a few classes of equipment at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    n, m = 400, 900
+    shifts = {f"{c}_{k}": [8.0] for k in ("NORMAL", "MAXIMUM") for c in ("working_days", "shifts", "hours")}
+    plans = {"product_number": [list(range(n))], "effective_demand_qty": [[float(i % 7) for i in range(n)]], "handling_time_sec": [[5.0] * n], "target_test_time_sec": [[20.0] * n], "target_yield": [[0.9] * n]}
+    gear = {"id": [list(range(m))], "kind": [["A", "B"] * (m // 2)], "qty": [[float(i % 4) for i in range(m)]], "utilization_rate": [[0.5 + (i % 300) / 1000 for i in range(m)]], "yield_retest_1": [[0.7] * m], "yield_retest_2_plus": [[0.9] * m], "retest_quote": [[None] * m]}
+    b = pa.RecordBatch.from_pydict({"site_code": ["S"], "test_type": ["AF"], "month_key": [199601], "snapshot_id": ["S1"], **shifts, "allowance": [0.1], "productivity": [0.9], **plans, **gear}).cast(
+        pa.schema([("site_code", pa.string()), ("test_type", pa.string()), ("month_key", pa.int32()), ("snapshot_id", pa.string()), *[(c, pa.float64()) for c in (*shifts, "allowance", "productivity")], ("product_number", pa.list_(pa.int64())), *[(c, pa.list_(pa.float64())) for c in list(plans)[1:]], ("id", pa.list_(pa.int64())), ("kind", pa.list_(pa.string())), *[(c, pa.list_(pa.float64())) for c in list(gear)[2:]]])
+    )
+    monkeypatch.setattr(PR, "_TILE", 64)
+    row, ids = next(iter(PR._rows(b)))
+    sizes = [x[6].shape for x in row.matrices()]
+    assert max(s[0] for s in sizes) <= 64 and {s[1] for s in sizes} == {7}  # before: 900 x 400 at once
+    out = list(PR._cells(row, ids))
+    assert sum(x[9][0] for x in out) == 4 * n * m
+    assert np.isclose(sum(x[PR._CELLS.split(", ").index("demand_sum double")][0] for x in out), 4 * m * sum(i % 7 for i in range(n)))
+
+
+def test_first_months(folded):
+    months = [folded.withColumn("month_key", F.lit(m)) for m in (199603, 199601, 199602)]
+    rows, n = months[0].union(months[1]).union(months[2]), P.unfolded(folded).count()
+    for wanted, last in ((1, 199601), (n, 199601), (n + 1, 199602), (2 * n, 199602), (3 * n, 199603), (9 * n, 199603)):
+        assert P.first_months(rows, wanted).agg(F.max("month_key")).first()[0] == last
+
+
+def test_equipment_is_taken_once_a_cell(folded):
+    assert folded.count() > 3 and P.equipment_of(folded).count() == 30 + 30 + 1
+
+
+def test_row_groups_are_bounded(spark, tmp_path, monkeypatch):
+    """A scan decodes a row group's rows at once at most, so few long arrays are in one."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from planforge.sources import io
+
+    monkeypatch.setattr(io, "ROW_GROUP", 1 << 20)
+    rows = spark.range(0, 2000, 1, 1).select(F.lit(199601).alias("month_key"), F.col("id"), F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda x: F.xxhash64("id", x)).alias("v"))
+    io.add_months(rows, str(tmp_path / "layer"), "month_key", ["id"])
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(str(tmp_path / "layer/*/*.parquet"))]
+    assert max(m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)) < 500  # one group of 2,000 before
