@@ -213,3 +213,22 @@ def test_yield_folds_fit_no_other_model(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(SC.B, "fit", lambda df, key, names, label, models, **kw: fitted.append(sorted(models)) or fit(df, key, names, label, models, **kw))
     assert SC.yield_fold_scores(spark, sf_dir).count() > 0
     assert fitted == [[f"fold_{i}" for i in range(SC.FOLDS)]]
+
+
+def test_saved_models_are_fitted_side_by_side(spark, sf_dir, monkeypatch):
+    from threading import Barrier
+    from types import SimpleNamespace
+
+    from planforge.queries import models as M
+
+    together = Barrier(3)  # opens once all three builds have begun
+
+    def build(spark, sf):
+        together.wait(timeout=30)
+        return lambda table: spark.createDataFrame([("m", 0, None, 0.5)], "model string, tree int, feature string, base double")
+
+    for name in ("demand", "failures", "yields"):
+        monkeypatch.setattr(M.SC, name, build)
+    monkeypatch.setattr(M.store, "of_data", lambda spark, sf: SimpleNamespace(metadata=lambda name: {"target": "t", "features": ["a", "b"]}))
+    got = {r["entry"]: tuple(r)[1:] for r in M.l21_saved_model(spark, sf_dir).collect()}
+    assert got == dict.fromkeys(("demand", "failure", "yield"), ("m", "t", 2, 1, 1, 1, 0.5))
