@@ -53,7 +53,8 @@ class LeafTable:
         self.inner, self.at = np.flatnonzero(feature >= 0), np.zeros(len(feature), np.int64)
         self.at[self.inner] = np.arange(len(self.inner))
         self.split_on, self.cut = feature[self.inner], threshold[self.inner]
-        self.table = self._table(share)
+        self.table = np.ascontiguousarray(np.moveaxis(self._table(share), 2, 0)).reshape(depth, n << depth)
+        self.some = [np.flatnonzero(self.feature[:, u] >= 0) for u in range(depth)]
 
     def _table(self, share: np.ndarray) -> np.ndarray:
         """[leaf, pattern, slot]: contributions; empty slots count as features that always hold with share 1, which give 0."""
@@ -84,19 +85,18 @@ class LeafTable:
         if not self.depth:
             return
         right = x[:, self.split_on] > self.cut
-        pattern = np.full((len(x), len(self.value)), (1 << self.depth) - 1)
+        n, fails = len(self.value), np.zeros((len(x), len(self.value)), np.int32)
         for j in range(self.depth):
-            fails = self.real[:, j] & (right[:, self.at[self.node[:, j]]] != self.side[:, j])
-            pattern &= ~(fails.astype(np.int64) << self.slot[:, j])
-        leaf = np.arange(len(self.value))
+            fail = right[:, self.at[self.node[:, j]]] != self.side[:, j].astype(bool)
+            fails |= np.where(fail & self.real[:, j], np.int32(1) << self.slot[:, j].astype(np.int32), np.int32(0))
+        at = (np.arange(n) << self.depth) + ((1 << self.depth) - 1 - fails)  # places of leaf and pattern in a slot's table
         rows = np.arange(len(x))[:, None] * out.shape[1]
-        for u in range(self.depth):
-            some = np.flatnonzero(self.feature[:, u] >= 0)
-            add = self.table[leaf[some], pattern[:, some], u]
+        for u, some in enumerate(self.some):
+            add = self.table[u].take(at if len(some) == n else at[:, some])
             out += np.bincount((rows + self.feature[some, u]).ravel(), add.ravel(), out.size).reshape(out.shape)
 
 
-def shapley_values(x: np.ndarray, tables: list[LeafTable], chunk: int = 1024) -> np.ndarray:
+def shapley_values(x: np.ndarray, tables: list[LeafTable], chunk: int = 256) -> np.ndarray:
     """[row, feature]: with the mean of all trees they sum to the margin."""
     out = np.zeros(x.shape)
     for at in range(0, len(x), chunk):
@@ -114,6 +114,11 @@ def leaf_tables(e: Ensemble) -> list[LeafTable]:
     return [LeafTable(*t) for t in zip(e.feature, e.threshold, e.value, e.cover, strict=True)]
 
 
+def tasks_for(n: int, cores: int) -> int:
+    """A task for 4,096 rows, but no more than cores until each has 65,536: each task works the leaf tables out, which takes as long as some thousand rows."""
+    return max(1, min(n // 4096, max(cores, n // 65_536)))
+
+
 def attributions(df: DataFrame, ensemble: Ensemble, key: str, columns: list[str], n: int = 10) -> DataFrame:
     """key, feature, contribution, rank: the n features of the largest exact Shapley values of each row.
 

@@ -232,3 +232,8 @@ def test_saved_models_are_fitted_side_by_side(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(M.store, "of_data", lambda spark, sf: SimpleNamespace(metadata=lambda name: {"target": "t", "features": ["a", "b"]}))
     got = {r["entry"]: tuple(r)[1:] for r in M.l21_saved_model(spark, sf_dir).collect()}
     assert got == dict.fromkeys(("demand", "failure", "yield"), ("m", "t", 2, 1, 1, 1, 0.5))
+
+
+def test_leaf_tables_are_worked_out_once_a_core():
+    assert [S.tasks_for(n, 8) for n in (0, 9000, 74_330, 10**6)] == [1, 2, 8, 15]  # 18 for 74,330 rows before
+    assert S.LeafTable(np.array([-1]), np.zeros(1), np.ones(1), np.ones(1)).table.shape == (0, 1)
